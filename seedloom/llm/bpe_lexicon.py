@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .token_counts import byte_symbols
-from .util import chunks, span_hashes, text_bytes
+from .util import checkpointed, chunks, span_hashes, text_bytes, top_by_count
 
 #: Words in the transducer: with the longest word of WORD_BYTES, this bounds its file to a few tens of MB.
 LEXICON_WORDS = 200_000
@@ -350,8 +350,8 @@ def word_counts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 def build_lexicon(df: DataFrame, path: str, text: str = "text", size: int = LEXICON_WORDS) -> str:
     """Compiles the ``size`` most frequent words of ``df`` and ships the file to the nodes; its name for SparkFiles."""
     spark: SparkSession = df.sparkSession
-    top = word_counts(df, path, text).filter((F.length("word") <= WORD_BYTES) & (F.col("n") > 1))
-    words = sorted(bytes(r.word) for r in top.orderBy(F.desc("n"), "word").limit(size).select("word").toLocalIterator())
+    counts = checkpointed(word_counts(df, path, text).filter((F.length("word") <= WORD_BYTES) & (F.col("n") > 1)))
+    words = sorted(bytes(r.word) for r in top_by_count(counts, "n", ["word"], size).select("word").collect())
     merger = Merger(path)
     outputs: list[np.ndarray] = []
     for k in range(0, len(words), 50_000):

@@ -6,15 +6,45 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_lexicon, exact_dedup, secret_scan, token_counts
+from . import bpe_lexicon, exact_dedup, kn_quality, lbl_score, mixing, ppm_langid, secret_scan, token_counts
 from .util import read
 
 
+#: The tree of the mix: four domains by a source's number, languages, sources; its weights, budget and epochs.
+LEVELS = [
+    (
+        "domain",
+        "concat('domain', try_cast(regexp_extract(source, '([0-9]+)', 1) as int) % 4)",
+        "case m_domain when 'domain0' then 4 when 'domain1' then 3 when 'domain2' then 2 else 1 end",
+    ),
+    ("lang", "lang", "case m_lang when 'en' then 5 when 'de' then 3 when 'fr' then 3 when 'es' then 2 else 1 end"),
+    ("source", "source", "1 + length(m_source) % 3"),
+]
+#: Of ten parts of the table's tokens, those that the mix takes; a document is taken at most MIX_EPOCHS times.
+MIX_TENTHS, MIX_EPOCHS, MIX_SEED = 9, 3, 17
+
+
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    budget = f"tokens * {MIX_TENTHS} div 10"
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), LEVELS, budget, MIX_EPOCHS, MIX_SEED)
+    renamed = [F.col(f"m_{c}").alias(c) for c in ("domain", "lang", "source", "epoch")]
+    return mixed.select("doc_id", *renamed, F.col("m_tokens").alias("n_tokens"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_scan.with_digest(secret_scan.secret_scan(read(spark, sf_dir, "documents")))
     return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op4_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read(spark, sf_dir, "labels").filter("quality = 1 and doc_id is not null")
+    return kn_quality.quality(read(spark, sf_dir, "documents"), trusted)
+
+
+def op5_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_langid.language_id(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(read(spark, sf_dir, "documents"))
 
@@ -27,9 +57,62 @@ def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op6_exact_dedup, op7_token_counts, op8_bpe_lexicon)}
+def op10_lbl_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl_score.lm_scores(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mix,
+        op2_secret_scan,
+        op4_kn_quality,
+        op5_ppm_langid,
+        op6_exact_dedup,
+        op7_token_counts,
+        op8_bpe_lexicon,
+        op10_lbl_score,
+    )
+}
+
+
+def _mix_sql() -> str:
+    """The mix over the same tree: one water-filling a level, then each leaf's epochs in their orders."""
+
+    def level(name: str, parent: list[str], weight: str, above: str) -> str:
+        path, by = [*parent, name], f"PARTITION BY {', '.join(parent) or '0'}"
+        join = f"JOIN {above} USING ({', '.join(parent)})" if parent else f"CROSS JOIN {above}"
+        return f"""
+        {name}_0 AS (SELECT l.*, budget, {weight} AS weight FROM
+            (SELECT {', '.join(path)}, sum(tokens * {MIX_EPOCHS})::BIGINT AS cap FROM leaves GROUP BY ALL) l {join}),
+        {name}_1 AS (SELECT *, coalesce(sum(cap) OVER ({by} ORDER BY cap / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
+            sum(weight) OVER ({by} ORDER BY cap / weight, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w FROM {name}_0),
+        {name}_2 AS (SELECT *, cap * w <= (budget - b) * weight AS filled FROM {name}_1),
+        {name}_3 AS (SELECT {', '.join(path)}, (CASE WHEN filled THEN cap ELSE
+            ((budget - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER ({by})) * weight) // sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({by}) END)::BIGINT AS budget FROM {name}_2)"""
+
+    domain = "CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END"
+    lang = "CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 3 WHEN 'fr' THEN 3 WHEN 'es' THEN 2 ELSE 1 END"
+    return f"""
+        WITH docs AS (SELECT doc_id, coalesce('domain' || (try_cast(regexp_extract(source, '([0-9]+)', 1) AS INT) % 4), 'none') AS domain,
+            coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+            coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM documents),
+        leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),
+        root AS (SELECT least(sum(tokens * {MIX_EPOCHS}), sum(tokens) * {MIX_TENTHS} // 10)::BIGINT AS budget FROM leaves),
+        {level("domain", [], domain, "root")}, {level("lang", ["domain"], lang, "domain_3")},
+        {level("source", ["domain", "lang"], "1 + length(source) % 3", "lang_3")},
+        placed AS (SELECT d.*, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, tokens, budget
+            FROM docs d JOIN source_3 USING (domain, lang, source) JOIN leaves USING (domain, lang, source)),
+        ordered AS (SELECT *, budget - whole * tokens AS rest, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source
+            ORDER BY md5('{MIX_SEED}:' || whole || ':' || coalesce(doc_id::VARCHAR, 'none')), doc_id, n_tokens
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM placed)
+        SELECT doc_id, domain, lang, source, unnest(range(whole))::INT AS epoch, n_tokens FROM placed
+        UNION ALL SELECT doc_id, domain, lang, source, whole::INT, n_tokens FROM ordered WHERE spent < rest
+    """
+
 
 ORACLE_SQL = {
+    "op1_source_mix": _mix_sql(),
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,

@@ -108,6 +108,27 @@ def fold_case(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def top_by_count(df: DataFrame, n: str, keys: list[str], limit: int) -> DataFrame:
+    """The ``limit`` rows with the largest ``n``, ties by ``keys``. ``df`` should be checkpointed: it is read twice.
+
+    A histogram over eighths of powers of two finds the counts that qualify, so little more than ``limit`` rows are sorted.
+    """
+    level = F.floor(F.log2(F.col(n)) * 8)
+    histogram = sorted(df.groupBy(level.alias("level")).count().collect(), reverse=True)
+    cut, above = None, 0
+    for row in histogram:
+        cut, above = row[0], above + row[1]
+        if above >= limit:
+            break
+    rows = df if cut is None else df.filter(level >= cut)
+    return rows.orderBy(F.desc(n), *keys).limit(limit)
+
+
 def broadcast_value(spark: SparkSession, value):
     """A Spark broadcast of a value whose size the caller bounds."""
     return spark.sparkContext.broadcast(value)
