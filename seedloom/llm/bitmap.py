@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exact_dedup import _bit, filter_bits
+from .util import checkpointed
 
 
 class BitmapFilter:
@@ -28,3 +29,16 @@ class BitmapFilter:
         hit = df.join(F.broadcast(self.bitmaps), F.bitmap_bucket_number(cell) == F.col("__bucket"), "left")
         hit = hit.withColumn(as_name, F.coalesce(_bit(F.col("__bitmap"), cell), F.lit(False)))
         return hit.drop("__bucket", "__bitmap")
+
+
+def without(df: DataFrame, doc: str, dropped: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id is not among ``dropped`` (one column); rows without an id stay.
+
+    Only rows whose id may be among them are shuffled; the others pass straight through.
+    """
+    (name,) = dropped.columns
+    gone = checkpointed(dropped.select(F.col(name).alias("__id")).filter("__id is not null").distinct())
+    marked = BitmapFilter(gone).marked(df, doc, "__maybe")
+    sure = marked.filter("not __maybe").select(df.columns)
+    maybe = marked.filter("__maybe").select(df.columns)
+    return sure.unionAll(maybe.join(gone, maybe[doc] == gone["__id"], "left_anti"))

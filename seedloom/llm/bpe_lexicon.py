@@ -424,8 +424,13 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", doc: str = "doc_id")
     return df.select(df[doc].alias("i"), df[ids].alias("x")).mapInArrow(run, f"`{doc}` {kind}, text string")
 
 
-def bpe_digests(df: DataFrame, path: str, text: str = "text", doc: str = "doc_id", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """bpe_encode and bpe_decode as digests: doc, n_tokens, ids_sha256 (ids little-endian, 32 bits), decoded_sha256."""
+def bpe_digests(
+    df: DataFrame, path: str, text: str = "text", doc: str = "doc_id", lexicon_words: int = LEXICON_WORDS, keep_ids: bool = False
+) -> DataFrame:
+    """bpe_encode and bpe_decode as digests: doc, n_tokens, ids_sha256 (ids little-endian, 32 bits), decoded_sha256.
+
+    With ``keep_ids`` the ids stay beside them, as array<int>.
+    """
     name = build_lexicon(df, path, text, lexicon_words)
     kind = df.schema[doc].dataType.simpleString()
 
@@ -436,11 +441,10 @@ def bpe_digests(df: DataFrame, path: str, text: str = "text", doc: str = "doc_id
             raw = memoryview(ids.astype("<u4").tobytes())
             own = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             back = [hashlib.sha256(t).hexdigest() for t in merger.decode_many(ids, offsets)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("i"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(own), pa.array(back)],
-                names=[doc, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return df.select(df[doc].alias("i"), df[text].alias("t")).mapInArrow(
-        run, f"`{doc}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+            out = [part.column("i"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(own), pa.array(back)]
+            if keep_ids:
+                out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(out, names=[doc, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
+
+    fields = f"`{doc}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return df.select(df[doc].alias("i"), df[text].alias("t")).mapInArrow(run, fields)

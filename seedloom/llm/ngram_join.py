@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import BitmapFilter
+from .bitmap import BitmapFilter, without
 from .components import components
 from .util import broadcast_value, checkpointed, chunks, fold_case, mix, span_hashes, text_bytes, top_by_count, word_spans
 
@@ -307,13 +307,6 @@ def token_sets(own: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def keep_one(df: DataFrame, text: str = "text", doc: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` without those that have a component with a smaller id; all columns stay.
-
-    Only rows whose id may be among the dropped ones are shuffled.
-    """
+    """The rows of ``df`` with the smallest id of their component, all columns; rows without an id stay."""
     found = jaccard_components(df, text, doc, words, percent)
-    dropped = checkpointed(found.filter(~F.col(doc).eqNullSafe(F.col("component_id"))).select(F.col(doc).alias("__id")))
-    marked = BitmapFilter(dropped).marked(df, doc, "__maybe")
-    sure = marked.filter("not __maybe").select(df.columns)
-    maybe = marked.filter("__maybe").select(df.columns)
-    return sure.unionAll(maybe.join(dropped.distinct(), maybe[doc].eqNullSafe(dropped["__id"]), "left_anti"))
+    return without(df, doc, found.filter(F.col(doc) != F.col("component_id")).select(doc))

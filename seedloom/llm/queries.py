@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_lexicon, exact_dedup, kn_quality, lbl_score, mixing, ppm_langid, secret_scan, token_counts
+from . import bpe_lexicon, exact_dedup, kn_quality, lbl_score, mixing, ngram_join, nn_descent, ppm_langid, secret_scan, token_counts
 from .util import read
 
 
@@ -36,6 +36,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op4_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = read(spark, sf_dir, "labels").filter("quality = 1 and doc_id is not null")
     return kn_quality.quality(read(spark, sf_dir, "documents"), trusted)
@@ -57,6 +61,10 @@ def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest_rows(read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op10_lbl_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl_score.lm_scores(read(spark, sf_dir, "documents"))
 
@@ -66,11 +74,13 @@ QUERIES = {
     for f in (
         op1_source_mix,
         op2_secret_scan,
+        op3_ngram_join,
         op4_kn_quality,
         op5_ppm_langid,
         op6_exact_dedup,
         op7_token_counts,
         op8_bpe_lexicon,
+        op9_nn_descent,
         op10_lbl_score,
     )
 }
