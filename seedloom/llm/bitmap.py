@@ -31,14 +31,31 @@ class BitmapFilter:
         return hit.drop("__bucket", "__bitmap")
 
 
-def without(df: DataFrame, doc: str, dropped: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose id is not among ``dropped`` (one column); rows without an id stay.
+#: Buckets of 32,768 ids in an exact set that is broadcast, at most: 64 MB.
+EXACT_BUCKETS = 1 << 14
+
+
+def split_by_id(df: DataFrame, doc: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose id is among ``ids`` (one column), and the others, those without an id included.
 
-    Only rows whose id may be among them are shuffled; the others pass straight through.
+    Whole-number ids in up to EXACT_BUCKETS ranges are an exact bitmap, and no row is shuffled. Others, or more, pass
+    a filter first, and only rows whose id may be among them are shuffled.
     """
-    (name,) = dropped.columns
-    gone = checkpointed(dropped.select(F.col(name).alias("__id")).filter("__id is not null").distinct())
-    marked = BitmapFilter(gone).marked(df, doc, "__maybe")
-    sure = marked.filter("not __maybe").select(df.columns)
-    maybe = marked.filter("__maybe").select(df.columns)
-    return sure.unionAll(maybe.join(gone, maybe[doc] == gone["__id"], "left_anti"))
+    (name,) = ids.columns
+    ids = checkpointed(ids.select(F.col(name).alias("__id")).filter("__id is not null").distinct())
+    if ids.schema["__id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        bucket, place = F.bitmap_bucket_number(F.col("__id")), F.bitmap_bit_position(F.col("__id"))
+        sets = checkpointed(ids.groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(place).alias("__bitmap")))
+        if sets.count() <= EXACT_BUCKETS:
+            met = df.join(F.broadcast(sets), F.bitmap_bucket_number(F.col(doc).cast("long")) == F.col("__bucket"), "left")
+            inside = F.coalesce(_bit(F.col("__bitmap"), F.col(doc).cast("long")), F.lit(False))
+            return met.filter(inside).select(df.columns), met.filter(~inside).select(df.columns)
+    marked = BitmapFilter(ids).marked(df, doc, "__maybe")
+    sure, maybe = marked.filter("not __maybe").select(df.columns), marked.filter("__maybe").select(df.columns)
+    on = maybe[doc] == ids["__id"]
+    return maybe.join(ids, on, "left_semi"), sure.unionAll(maybe.join(ids, on, "left_anti"))
+
+
+def without(df: DataFrame, doc: str, dropped: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id is not among ``dropped`` (one column); rows without an id stay."""
+    return split_by_id(df, doc, dropped)[1]
