@@ -104,7 +104,7 @@ def frequent_shingles(df: DataFrame, words: int) -> DataFrame:
 
         for part in chunks(batches, "t"):
             held.append(shingle_sets(part.column("t"), words)[0] >> np.uint64(24))
-            if sum(map(len, held)) > 3_000_000:
+            if sum(map(len, held)) > 1_500_000:
                 yield flush()
         if sum(map(len, held)):
             yield flush()
@@ -222,17 +222,17 @@ def jaccard_components(df: DataFrame, text: str = "text", doc: str = "doc_id", w
     same = ["n", "s1", "s2"]
     nodes = docs.filter("n > 0").groupBy(same).agg(F.min("r").alias("node"), F.min("i").alias("least"))
     nodes = checkpointed(nodes)
-    singles = docs.join(nodes.select(F.col("node").alias("r")), "r", "left_semi")
+    copies = docs.filter("n > 0").select("r", *same).join(nodes.select(*same, "node"), same).filter("r != node").select("r")
+    singles = without(docs.filter("n > 0"), "r", copies)
     entries = singles.select("r", "n", "rare", F.posexplode("first").alias("pos", "key"))
 
     # rare first shingles: pairs of nodes, with the shingles that they miss
     rare = entries.filter("pos < rare").select("key", "r", "n", "pos")
-    left = rare.select("key", F.col("r").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = rare.select("key", F.col("r").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    pairs = left.join(right, "key").filter(f"a < b and {fits}").groupBy("a", "b").agg(
-        F.count("*").alias("c"), *[F.max(x).alias(x) for x in ("na", "nb", "pa", "pb")]
-    )
+    met = rare.alias("x").join(rare.alias("y"), F.expr("x.key = y.key and x.r < y.r"))  # one exchange for both sides
+    names = {"a": "x.r", "b": "y.r", "na": "x.n", "nb": "y.n", "pa": "x.pos", "pb": "y.pos"}
+    met = met.select(*[F.col(c).alias(n) for n, c in names.items()]).filter(fits)
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.max(x).alias(x) for x in ("na", "nb", "pa", "pb")])
     need = needed("na", "nb", percent)
     pairs = pairs.filter(f"pa + 1 - c <= na - {need} and pb + 1 - c <= nb - {need}").select("a", "b")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task holds in numpy form at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: White space of the word definition used throughout: space, tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
