@@ -43,3 +43,32 @@ def pure_shift(a: str, b: str, score: str) -> Column:
     return F.expr(
         f"startswith({a}, substring({b}, {score} + 1)) or startswith({b}, substring({a}, {score} + 1))"
     )
+
+
+#: The bits of a relation of two labels (fixed values of the flag format).
+LEFT_SUB, RIGHT_SUB, LEFT_SUP, RIGHT_SUP, BOTH_SUB, BOTH_SUP, LEFT_OVERLAP, RIGHT_OVERLAP = 1, 2, 4, 8, 16, 32, 64, 128
+
+
+def _meets(a: str, b: str, threshold: int) -> str:
+    """Whether a proper prefix of ``a`` ends ``b``, with ``a`` cut down to it base by base below the threshold."""
+    cut = lambda n: f"left({a}, length({a}) - {n})"
+    close = f"forall(sequence(1, k), j -> {cut('j')} != {b} and levenshtein({cut('j')}, {b}) < {threshold})"
+    return f"{b} != '' and length({a}) > 1 and exists(sequence(1, length({a}) - 1), k -> endswith({b}, {cut('k')}) and {close})"
+
+
+def relation_flags(v: str, u: str, threshold: int) -> Column:
+    """How ``u`` is a trimmed, extended or shifted copy of ``v``; 0 for a neighbour that is none of these.
+
+    For pairs at an edit distance below ``threshold``. An overlap counts only if every step of its shift stays below it.
+    """
+    rules = {
+        LEFT_SUB: f"endswith({v}, {u})",
+        RIGHT_SUB: f"startswith({v}, {u})",
+        LEFT_SUP: f"endswith({u}, {v})",
+        RIGHT_SUP: f"startswith({u}, {v})",
+        BOTH_SUB: f"{u} != '' and contains(substring({v}, 2, length({v}) - 2), {u})",
+        BOTH_SUP: f"{v} != '' and contains(substring({u}, 2, length({u}) - 2), {v})",
+        LEFT_OVERLAP: _meets(v, u, threshold),
+        RIGHT_OVERLAP: _meets(u, v, threshold),
+    }
+    return F.expr(" + ".join(f"if({rule}, {bit}, 0)" for bit, rule in rules.items()))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import chebyshev, prefix_distance, pure_shift
+from ..functions.sequence import chebyshev, prefix_distance, pure_shift, relation_flags
+from .kmers import substrings
 
 #: Distances to signposts stop here (a fixed value of the vector format).
 CLAMP = 63
@@ -28,6 +29,24 @@ def edit_pairs(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
     return met.withColumn("dist", F.levenshtein("v", "u", threshold - 1)).filter("dist >= 0")
 
 
+def flagged_pairs(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
+    """(v, u, dist, flag): pairs below ``threshold`` with the bits of their relation."""
+    return edit_pairs(left, right, threshold).withColumn("flag", relation_flags("v", "u", threshold))
+
+
+def position_tolerance(contigs: DataFrame, pairs: DataFrame, depth: int, most: int) -> DataFrame:
+    """(seq_no, pos, ets) of every position: how far its label of ``depth`` bases is from the nearest unrelated one.
+
+    ``pairs``: v, u, dist, flag, as of flagged_pairs(). ``most`` where no unrelated label is near; 0 where fewer than
+    ``depth`` bases are left.
+    """
+    near = pairs.filter(f"flag = 0 and length(v) = {depth}").groupBy(F.col("v").alias("kmer")).agg(F.least(F.min("dist"), F.lit(most)).alias("ets"))
+    full = substrings(contigs, depth).join(near, "kmer", "left").select("seq_no", "pos", F.coalesce("ets", F.lit(most)).alias("ets"))
+    begin = F.greatest(F.length("seq") - (depth - 1), F.lit(0))
+    ends = contigs.filter("length(seq) > 0").select("seq_no", F.explode(F.sequence(begin, F.length("seq") - 1)).alias("pos"), F.lit(0).alias("ets"))
+    return full if depth == 1 else full.unionByName(ends)
+
+
 def to_signpost(seeds: DataFrame, signpost: str) -> Column:
     return F.least(prefix_distance("seed", f"'{signpost}'"), F.lit(CLAMP))
 

@@ -12,6 +12,8 @@ from ..operators import seeds as P
 from ..sources import genome as G
 
 UNIT, DEPTH, FREQUENT, CLOSE = 12, 5, 5, 3
+#: Tolerance without a near neighbour, and bases of an optimal seed, at least.
+FARTHEST, SHORTEST = 3, 10
 #: Bases that stand for hexadecimal digits in made-up seeds.
 LETTERS = "ACGTNACGTACGTACG"
 SIGNPOST, SECOND = "ACGTACGTACGT", "TTGACCAGTACA"
@@ -43,6 +45,12 @@ def seed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    begun = lines.withColumn("beg", F.expr("l_linenumber * 6 + l_partkey % 7"))
+    return begun.select(F.col("l_orderkey").alias("read_no"), "beg", F.expr("beg + 8 + l_suppkey % 5").alias("end"), F.expr("cast(l_quantity as int) % 10 + 1").alias("freq"))
+
+
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.contigs_of_documents(spark, sf_dir)
 
@@ -80,6 +88,8 @@ QUERIES = {
     ).select("kmer", "seq_no", "window"),
     "edit_distance_pairs": lambda s, d: D.edit_pairs(level(s, d, 4), level(s, d, 4), 2).select("v", "u", long("dist")),
     "trie_neighbors": lambda s, d: trie_neighbors(s, d),
+    "trie_neighbor_flags": lambda s, d: trie_neighbor_flags(s, d),
+    "position_tolerance": lambda s, d: D.position_tolerance(contigs(s, d), trie_neighbor_flags(s, d), 3, FARTHEST).select("seq_no", long("pos"), long("ets")),
     "neighbors_per_node": lambda s, d: trie_neighbors(s, d).groupBy(F.length("v").cast("long").alias("depth")).agg(
         (F.count("*") / F.countDistinct("v") - 1).alias("mean_neighbors")
     ),
@@ -98,6 +108,7 @@ QUERIES = {
     "read_naive_seed_freq": lambda s, d: P.naive_frequency(reads(s, d), K.kmer_counts(contigs(s, d), 10), 10, 4),
     "ets_seed_select": lambda s, d: P.select_seeds(seed_table(s, d), 4).select("read_no", long("total_freq"), long("n_seeds")),
     "ets_solver_summary": lambda s, d: P.solver_summary(P.select_seeds(seed_table(s, d), 4)),
+    "optimal_seeds": lambda s, d: P.optimal_seeds(cell_table(s, d), 2, SHORTEST),
     "read_seed_histogram": lambda s, d: P.select_seeds(seed_table(s, d), 4).groupBy(long("total_freq")).agg(F.count("*").alias("reads")),
 }
 
@@ -108,6 +119,12 @@ def trie_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.edit_pairs(nodes.filter("depth <= 3"), nodes, 2).select("v", "u", long("dist"))
 
 
+def trie_neighbor_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(v, u, dist, flag): as trie_neighbors(), with the root, and the bits of each pair's relation."""
+    nodes = K.trie(contigs(spark, sf_dir), 4).select("depth", "label").union(spark.createDataFrame([(0, "")], "depth int, label string"))
+    return D.flagged_pairs(nodes.filter("depth <= 3"), nodes, 2).select("v", "u", long("dist"), long("flag"))
+
+
 CONTIGS = "contigs AS (SELECT doc_id AS seq_no, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents)"
 READS = "reads AS (SELECT seq_no AS read_no, substring(seq, 7, 20) || 'A' || substring(seq, 28, 27) AS seq FROM contigs WHERE length(seq) >= 60)"
 SEEDS = f"seeds AS (SELECT DISTINCT substring(seq, 1, {UNIT}) AS seed FROM contigs WHERE length(seq) >= {UNIT})"
@@ -138,6 +155,20 @@ SOLVED = """solved AS (SELECT read_no, CASE WHEN sum(ets) >= 4 THEN sum(CASE WHE
     (SELECT *, coalesce(sum(ets) OVER (PARTITION BY read_no ORDER BY freq, ets DESC, beg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM seedt) GROUP BY read_no)"""
 NEIGHBORS = """edges AS (SELECT a.label AS v, b.label AS u, levenshtein(a.label, b.label)::BIGINT AS dist FROM trie a, trie b
     WHERE a.depth <= 3 AND abs(a.depth - b.depth) < 2 AND levenshtein(a.label, b.label) < 2)"""
+
+
+def _meets(a: str, b: str) -> str:
+    cut = f"substring({a}, 1, (length({a}) - %s)::INT)"
+    far = f"list_filter(range(1, k + 1), lambda j: {cut % 'j'} = {b} OR levenshtein({cut % 'j'}, {b}) >= 2)"
+    return f"({b} != '' AND len(list_filter(range(1, length({a})), lambda k: suffix({b}, {cut % 'k'}) AND len({far}) = 0)) > 0)::INT"
+
+
+FLAGS = f"""rooted AS (SELECT depth, label FROM trie UNION ALL SELECT 0, ''), flags AS (SELECT v, u, dist,
+    (suffix(v, u)::INT + 2 * starts_with(v, u)::INT + 4 * suffix(u, v)::INT + 8 * starts_with(u, v)::INT
+    + 16 * (u != '' AND length(v) > 2 AND contains(v[2:-2], u))::INT + 32 * (v != '' AND length(u) > 2 AND contains(u[2:-2], v))::INT
+    + 64 * {_meets("v", "u")} + 128 * {_meets("u", "v")})::BIGINT AS flag
+    FROM (SELECT a.label AS v, b.label AS u, levenshtein(a.label, b.label)::BIGINT AS dist FROM rooted a, rooted b
+        WHERE a.depth <= 3 AND abs(a.depth - b.depth) < 2 AND levenshtein(a.label, b.label) < 2))"""
 C12 = f"WITH {CONTIGS}, {_grams(UNIT)}, counts AS (SELECT kmer, count(*) AS n FROM grams GROUP BY kmer)"
 FIRST = f"firsts AS (SELECT kmer, n, p.seq_no AS seq_no, p.pos AS pos FROM (SELECT kmer, count(*) AS n, min({{'seq_no': seq_no, 'pos': pos}}) AS p FROM grams GROUP BY kmer) WHERE n >= {FREQUENT})"
 EXT = f"WITH {CONTIGS}, {_grams(7)}, ext AS (SELECT kmer AS pattern, count(*) AS n, min({{'seq_no': seq_no, 'pos': pos}}) AS p FROM grams WHERE kmer LIKE 'ACGT%' GROUP BY kmer)"
@@ -165,6 +196,10 @@ ORACLE_SQL = {
     "window_fetch": f"WITH {CONTIGS}, {_grams(UNIT)}, {FIRST} SELECT kmer, seq_no, substring(seq, greatest(pos - 2, 0) + 1, {UNIT + 4}) AS window FROM firsts JOIN contigs USING (seq_no)",
     "edit_distance_pairs": f"WITH {CONTIGS}, {_grams(4)}, l AS (SELECT DISTINCT kmer AS label FROM grams) SELECT a.label AS v, b.label AS u, levenshtein(a.label, b.label)::BIGINT AS dist FROM l a, l b WHERE levenshtein(a.label, b.label) < 2",
     "trie_neighbors": f"WITH {CONTIGS}, {_trie(4)}, {NEIGHBORS} SELECT * FROM edges",
+    "trie_neighbor_flags": f"WITH {CONTIGS}, {_trie(4)}, {FLAGS} SELECT * FROM flags",
+    "position_tolerance": f"""WITH {CONTIGS}, {_trie(4)}, {FLAGS}, near AS (SELECT v, min(dist) AS dist FROM flags WHERE flag = 0 GROUP BY v)
+        SELECT seq_no, pos, CASE WHEN pos > length(seq) - 3 THEN 0 ELSE least(coalesce(dist, {FARTHEST}), {FARTHEST}) END::BIGINT AS ets
+        FROM (SELECT seq_no, seq, unnest(range(0, length(seq))) AS pos FROM contigs) LEFT JOIN near ON v = substring(seq, pos + 1, 3)""",
     "neighbors_per_node": f"WITH {CONTIGS}, {_trie(4)}, {NEIGHBORS} SELECT length(v) AS depth, count(*) / count(DISTINCT v) - 1 AS mean_neighbors FROM edges GROUP BY length(v)",
     "prefix_anchored_distance": f"WITH {CONTIGS}, {SEEDS} SELECT seed, {_prefix('seed', f"'{SIGNPOST}'")}::BIGINT AS dist FROM seeds",
     "fitting_distance": f"""WITH {CONTIGS}, {READS} SELECT read_no, min(levenshtein(substring(seq, 1, 8), substring(substring(seq, 18, 12), i::INT + 1, n::INT)))::BIGINT AS dist
@@ -185,6 +220,10 @@ ORACLE_SQL = {
         SELECT read_no, coalesce(sum(n), 0)::BIGINT AS freq FROM cut LEFT JOIN counts USING (kmer) GROUP BY read_no""",
     "ets_seed_select": f"WITH {TABLE}, {SOLVED} SELECT * FROM solved",
     "ets_solver_summary": f"WITH {TABLE}, {SOLVED} SELECT count(*) FILTER (total_freq < 0) AS failed, avg(total_freq) FILTER (total_freq >= 0) AS mean_freq, avg(n_seeds) FILTER (total_freq >= 0) AS mean_seeds FROM solved",
+    "optimal_seeds": f"""WITH cells AS (SELECT l_orderkey AS read_no, l_linenumber * 6 + l_partkey % 7 AS beg, l_linenumber * 6 + l_partkey % 7 + 8 + l_suppkey % 5 AS "end",
+            l_quantity::INT % 10 + 1 AS freq FROM lineitem), usable AS (SELECT * FROM cells WHERE "end" - beg >= {SHORTEST}),
+        best AS (SELECT a.read_no, min(a.freq + b.freq) AS f FROM usable a JOIN usable b ON a.read_no = b.read_no AND b.beg >= a."end" GROUP BY ALL)
+        SELECT read_no, coalesce(f, -1)::BIGINT AS total_freq FROM (SELECT DISTINCT read_no FROM cells) LEFT JOIN best USING (read_no)""",
     "read_seed_histogram": f"WITH {TABLE}, {SOLVED} SELECT total_freq, count(*) AS reads FROM solved GROUP BY total_freq",
 }
 

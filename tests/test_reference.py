@@ -68,6 +68,27 @@ def test_seed_choice(spark):
     assert tuple(P.select_seeds(df, 5).first())[1:] == (-1, 0)
 
 
+@pytest.mark.parametrize(
+    "v, u, threshold, flag",
+    [
+        ("ACT", "CT", 2, 1), ("ACT", "AC", 2, 2), ("CT", "ACT", 2, 4), ("AC", "ACT", 2, 8), ("A", "A", 2, 15), ("", "A", 2, 12), ("A", "", 2, 3),
+        ("ACT", "AGT", 2, 0), ("GACTG", "ACT", 3, 16), ("ACT", "GACTG", 3, 32), ("CTA", "ACT", 3, 64), ("ACT", "CTA", 3, 128),
+        ("AAA", "AA", 2, 3), ("AAA", "AA", 3, 131),
+    ],
+)
+def test_relation_flags(spark, v, u, threshold, flag):
+    df = spark.createDataFrame([(v, u)], "v string, u string")
+    assert df.select(S.relation_flags("v", "u", threshold)).first()[0] == flag
+
+
+def test_optimal_seeds(spark):
+    cells = [(1, 0, 10, 5), (1, 0, 12, 2), (1, 10, 20, 1), (1, 12, 22, 6), (1, 20, 30, 1), (1, 20, 25, 0), (2, 0, 10, 1)]
+    df = spark.createDataFrame(cells, "read_no long, beg int, end int, freq int")
+    assert dict(map(tuple, P.optimal_seeds(df, 1, 10).collect())) == {1: 1, 2: 1}
+    assert dict(map(tuple, P.optimal_seeds(df, 2, 10).collect())) == {1: 2, 2: -1}
+    assert dict(map(tuple, P.optimal_seeds(df, 3, 10).collect())) == {1: 7, 2: -1}
+
+
 def test_formats(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">one\nACGT\nAC\n>two\nGG")
     got = G.read_fasta(spark, str(tmp_path / "a.fa")).select("seq_no", "name", "seq").collect()
