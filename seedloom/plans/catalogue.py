@@ -109,6 +109,7 @@ QUERIES = {
     "ets_seed_select": lambda s, d: P.select_seeds(seed_table(s, d), 4).select("read_no", long("total_freq"), long("n_seeds")),
     "ets_solver_summary": lambda s, d: P.solver_summary(P.select_seeds(seed_table(s, d), 4)),
     "optimal_seeds": lambda s, d: P.optimal_seeds(cell_table(s, d), 2, SHORTEST),
+    "read_optimal_seeds": lambda s, d: P.optimal_seeds(P.read_cells(reads(s, d), contigs(s, d), SHORTEST, UNIT), 3, SHORTEST),
     "read_seed_histogram": lambda s, d: P.select_seeds(seed_table(s, d), 4).groupBy(long("total_freq")).agg(F.count("*").alias("reads")),
 }
 
@@ -173,6 +174,14 @@ C12 = f"WITH {CONTIGS}, {_grams(UNIT)}, counts AS (SELECT kmer, count(*) AS n FR
 FIRST = f"firsts AS (SELECT kmer, n, p.seq_no AS seq_no, p.pos AS pos FROM (SELECT kmer, count(*) AS n, min({{'seq_no': seq_no, 'pos': pos}}) AS p FROM grams GROUP BY kmer) WHERE n >= {FREQUENT})"
 EXT = f"WITH {CONTIGS}, {_grams(7)}, ext AS (SELECT kmer AS pattern, count(*) AS n, min({{'seq_no': seq_no, 'pos': pos}}) AS p FROM grams WHERE kmer LIKE 'ACGT%' GROUP BY kmer)"
 
+CELLS = ", ".join(
+    f"""c{k} AS (SELECT read_no, beg, beg + {k} AS fin, coalesce(n, 0) AS freq FROM
+    (SELECT read_no, beg, substring(seq, beg + 1, {k}) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - {k - 1})) AS beg FROM reads))
+    LEFT JOIN (SELECT kmer, count(*) AS n FROM w{k} GROUP BY kmer) USING (kmer))"""
+    for k in range(SHORTEST, UNIT + 1)
+)
+ALL_CELLS = " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(SHORTEST, UNIT + 1))
+
 ORACLE_SQL = {
     "normalize_contigs": f"SELECT doc_id, md5({NORMAL}) AS digest, length(text) AS length FROM documents",
     "global_offsets": f"WITH {CONTIGS} SELECT seq_no, length(seq) AS length, coalesce(sum(length(seq) + 1) OVER (ORDER BY seq_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS global_off FROM contigs",
@@ -224,6 +233,11 @@ ORACLE_SQL = {
             l_quantity::INT % 10 + 1 AS freq FROM lineitem), usable AS (SELECT * FROM cells WHERE "end" - beg >= {SHORTEST}),
         best AS (SELECT a.read_no, min(a.freq + b.freq) AS f FROM usable a JOIN usable b ON a.read_no = b.read_no AND b.beg >= a."end" GROUP BY ALL)
         SELECT read_no, coalesce(f, -1)::BIGINT AS total_freq FROM (SELECT DISTINCT read_no FROM cells) LEFT JOIN best USING (read_no)""",
+    "read_optimal_seeds": f"""WITH {CONTIGS}, {READS}, {", ".join(_grams(k, f"w{k}") for k in range(SHORTEST, UNIT + 1))}, {CELLS}, cells AS ({ALL_CELLS}),
+        one AS (SELECT read_no, fin, min(freq) AS cost FROM cells GROUP BY ALL),
+        two AS (SELECT c.read_no, c.fin, min(o.cost + c.freq) AS cost FROM cells c JOIN one o ON o.read_no = c.read_no AND o.fin <= c.beg GROUP BY ALL),
+        three AS (SELECT c.read_no, min(t.cost + c.freq) AS cost FROM cells c JOIN two t ON t.read_no = c.read_no AND t.fin <= c.beg GROUP BY ALL)
+        SELECT read_no, coalesce(cost, -1)::BIGINT AS total_freq FROM (SELECT DISTINCT read_no FROM cells) LEFT JOIN three USING (read_no)""",
     "read_seed_histogram": f"WITH {TABLE}, {SOLVED} SELECT total_freq, count(*) AS reads FROM solved GROUP BY total_freq",
 }
 

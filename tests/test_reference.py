@@ -89,6 +89,13 @@ def test_optimal_seeds(spark):
     assert dict(map(tuple, P.optimal_seeds(df, 3, 10).collect())) == {1: 7, 2: -1}
 
 
+def test_read_cells(spark):
+    reads = spark.createDataFrame([(1, "ACGT"), (2, "AC"), (3, "")], "read_no long, seq string")
+    contigs = spark.createDataFrame([(0, "ACGACG")], "seq_no long, seq string")
+    got = P.read_cells(reads, contigs, 3, 4)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 3, 2), (1, 0, 4, 0), (1, 1, 4, 0)]
+
+
 def test_formats(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">one\nACGT\nAC\n>two\nGG")
     got = G.read_fasta(spark, str(tmp_path / "a.fa")).select("seq_no", "name", "seq").collect()
