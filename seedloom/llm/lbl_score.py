@@ -1,13 +1,17 @@
 """Log-probabilities of texts under a log-bilinear neural model trained with noise-contrastive estimation.
 
 Tokens are words (A-Z folded) and one end per text. Counts of all tokens of all training texts are gathered in Spark,
-by 64-bit word hashes. The VOCABULARY most frequent tokens are the model's symbols, all others share one: such a token
-has the probability of that symbol times its own share, (c + 1) / (N' + V' + 1), of the tokens outside the vocabulary.
-
-The model predicts a symbol from the CONTEXT symbols before it: r = sum_i C_i R[w_i], score = r . Q[w] + b[w]. Every
-task trains a copy on its own texts in numpy, with noise words shared by a minibatch so that the work is matrix
-products; Spark averages the copies, weighted by tokens, and the next round starts from the average. Scores are
-normalised exactly, over the whole vocabulary, for every context.
+by 64-bit word hashes whose low TAIL_BITS tell the word's ending. The most frequent words are symbols of their own,
+GROWTH times the square root of the corpus' tokens of them; all others share the symbols of their endings, as many as
+an eighth of the words have, 4096 at most. A word of an ending has the probability of that symbol, given the context,
+times its own share, (c + 1) / (N' + V' + 1), of that ending's tokens.
+
+The model predicts a symbol from the CONTEXT symbols before it: r = sum_i C_i R[w_i]. Symbols lie in blocks of about
+the square root of their number; P(symbol) = P(block) P(symbol in block), by scores r . S[block] + g[block] and
+r . Q[w] + b[w]. Every task trains a copy on its own texts in numpy, with noise shared by a minibatch so that the work
+is matrix products; Spark averages the rows that the copies changed, weighted by tokens, and the next round starts from
+the average. Scores are normalised exactly, over all blocks and the whole block of the target, once for each distinct
+context of a batch.
 
 Counts of the HEAD most frequent tokens are broadcast (a few MB); only rarer tokens of the texts are shuffled to meet
 their counts, so no hot word is ever a key of a shuffle.
@@ -15,6 +19,7 @@ their counts, so no hot word is ever a key of a shuffle.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,9 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import broadcast_value, checkpointed, chunks, fold_case, id_residue, span_hashes, text_bytes, top_by_count, word_spans
+from .util import broadcast_value, checkpointed, chunks, fold_case, id_residue, mix, span_hashes, text_bytes, top_by_count, word_spans
 
-VOCABULARY = 1024
+#: Words with a symbol of their own: so many times the square root of the tokens.
+GROWTH = 8
+#: Low bits of a word's key, from its last two bytes.
+TAIL_BITS = 12
 HEAD = 1 << 18
 CONTEXT = 2
 WIDTH = 24
@@ -33,9 +41,15 @@ ROUNDS = 2
 NOISE = 64
 MINIBATCH = 4096
 RATE = 0.05
+#: Where Adagrad's sums of squares start.
+FIRST_STEP = np.float32(1e-2)
 #: Key of the end of a text among the word hashes.
 END = np.int64(-1)
-UNKNOWN = 0
+#: Symbol of the end of a text; those of endings follow, then the words'.
+END_SYMBOL = 0
+#: Symbols whose copies are averaged together.
+AVERAGED = 256
+_ENDINGS = (1 << TAIL_BITS) - 1
 
 
 def token_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +58,11 @@ def token_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = fold_case(data)
     starts, ends, row = word_spans(data, offsets)
     keys = np.full(len(starts) + len(offsets) - 1, END, np.int64)
-    keys[np.arange(len(starts)) + row] = span_hashes(data, starts, ends).view(np.int64)
+    last = data[ends - 1].astype(np.uint64)
+    before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
+    ending = mix(last << np.uint64(8) | before) & np.uint64(_ENDINGS)
+    hashes = span_hashes(data, starts, ends) & ~np.uint64(_ENDINGS) | ending
+    keys[np.arange(len(starts)) + row] = hashes.view(np.int64)
     n = np.bincount(row, minlength=len(offsets) - 1) + 1
     return keys, np.concatenate([[0], np.cumsum(n)])
 
@@ -77,31 +95,49 @@ def token_counts(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def words_wanted(total: int) -> int:
+    return int(GROWTH * total**0.5)
+
+
 class Vocabulary:
-    """Head tokens with their counts, and the symbols of the most frequent; corpus totals beside them."""
+    """Head tokens with their counts, and the symbols of all tokens; corpus totals beside them."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        """keys: by falling count, at most HEAD; the end of a text is always a symbol."""
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int, endings: np.ndarray):
+        """keys: by falling count, at least the words_wanted(); endings: tokens and distinct words of each ending."""
         self.total, self.distinct = total, distinct
-        named = [END, *[k for k in keys.tolist() if k != END][: VOCABULARY - 2]]
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
-        symbols = dict(zip(named, range(1, VOCABULARY), strict=False))
-        self.symbols = np.array([symbols.get(k, UNKNOWN) for k in self.keys.tolist()], np.int64)
-        self.size = len(named) + 1
+        named = np.flatnonzero(keys != END)[: words_wanted(total)]
+        self.shift = TAIL_BITS - min(TAIL_BITS, max(1, len(named) // 8).bit_length() - 1)
+        self.tails = 1 << TAIL_BITS - self.shift
+        self.size = 1 + self.tails + len(named)
+        symbols = self._ending(keys)
+        symbols[named] = 1 + self.tails + np.arange(len(named))
+        rest = endings.copy()
+        np.subtract.at(rest, keys[named] & _ENDINGS, np.stack([counts[named], np.ones(len(named), np.int64)], 1))
+        rest = rest.reshape(self.tails, -1, 2).sum(1)
         n = np.zeros(self.size)
-        np.add.at(n, self.symbols, self.counts)
-        n[UNKNOWN] = total - n[1:].sum()
-        self.outside = float(n[UNKNOWN] + max(0, distinct - int((self.symbols > 0).sum())) + 1)
+        n[1 : 1 + self.tails] = rest[:, 0]
+        n[1 + self.tails :] = counts[named]
+        n[END_SYMBOL] = total - n.sum()
+        #: log10 of what the shares of an ending's words are of, 0 for words with a symbol of their own.
+        self.log_outside = np.zeros(self.size)
+        self.log_outside[1 : 1 + self.tails] = np.log10(rest.sum(1) + 1)
         self.unigram = (n + 1) / (n + 1).sum()
+        order = np.argsort(keys)
+        self.keys, self.counts, self.symbols = keys[order], counts[order], symbols[order]
+
+    def _ending(self, keys: np.ndarray) -> np.ndarray:
+        return np.where(keys == END, END_SYMBOL, 1 + ((keys & _ENDINGS) >> self.shift))
+
+    def shares_ending(self, symbols: np.ndarray) -> np.ndarray:
+        return (symbols > END_SYMBOL) & (symbols <= self.tails)
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol of each key, and its count, -1 outside the head."""
         if not len(self.keys):
-            return np.where(keys == END, 1, UNKNOWN), np.where(keys == END, 0, -1)
+            return self._ending(keys), np.where(keys == END, 0, -1)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         head = self.keys[at] == keys
-        symbols = np.where(head, self.symbols[at], np.where(keys == END, 1, UNKNOWN))
+        symbols = np.where(head, self.symbols[at], self._ending(keys))
         return symbols, np.where(head, self.counts[at], np.where(keys == END, 0, -1))
 
 
@@ -110,9 +146,9 @@ def histories(symbols: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     at, first = np.arange(len(symbols)), np.repeat(offsets[:-1], np.diff(offsets))
     out = []
     for back in range(1, CONTEXT + 1):
-        before = np.ones(len(symbols), np.int64)
+        before = np.full(len(symbols), END_SYMBOL)
         before[back:] = symbols[:-back]
-        out.append(np.where(at - back >= first, before, 1))
+        out.append(np.where(at - back >= first, before, END_SYMBOL))
     return out
 
 
@@ -122,29 +158,49 @@ class LogBilinear:
     def __init__(self, unigram: np.ndarray, seed: int = 11):
         rng = np.random.default_rng(seed)
         v = len(unigram)
-        self.unigram = unigram
+        self.block = max(1, int(np.ceil(v**0.5)))
+        blocks = np.add.reduceat(unigram, np.arange(0, v, self.block))
+        self.noise = {"Q": (np.cumsum(unigram), np.log(NOISE * unigram).astype(np.float32)), "S": (np.cumsum(blocks), np.log(NOISE * blocks).astype(np.float32))}
         self.R = rng.normal(0, 0.1, (v, WIDTH)).astype(np.float32)
         self.Q = rng.normal(0, 0.1, (v, WIDTH)).astype(np.float32)
         self.C = np.stack([np.eye(WIDTH, dtype=np.float32) / CONTEXT] * CONTEXT)
         self.b = np.log(unigram).astype(np.float32)
+        self.S = rng.normal(0, 0.1, (len(blocks), WIDTH)).astype(np.float32)
+        self.g = np.log(blocks).astype(np.float32)
         self.step_sizes: dict[str, np.ndarray] = {}
 
-    NAMES = ("R", "Q", "C", "b")
+    #: Parameters of single symbols, and those that all texts change.
+    ROWS, SHARED = ("R", "Q", "b"), ("C", "S", "g")
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, x).reshape(-1) for x in self.NAMES])
+    def copy(self) -> LogBilinear:
+        out = copy.copy(self)
+        for x in self.ROWS + self.SHARED:
+            setattr(out, x, getattr(self, x).copy())
+        out.step_sizes = {}
+        return out
 
-    def set_flat(self, values: np.ndarray) -> None:
+    def changed(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Number of a part (-1: what is shared), rows of it, their values, of all that training changed."""
+        shared = np.concatenate([getattr(self, x).reshape(-1) for x in self.SHARED])
+        yield -1, np.arange(len(shared), dtype=np.int32), shared[:, None]
+        rows = np.flatnonzero((self.step_sizes["R"] != FIRST_STEP).any(1) | (self.step_sizes["Q"] != FIRST_STEP).any(1) | (self.step_sizes["b"] != FIRST_STEP))
+        for some in np.split(rows, np.flatnonzero(np.diff(rows // AVERAGED)) + 1):
+            yield int(some[0] // AVERAGED), some.astype(np.int32), np.concatenate([self.R[some], self.Q[some], self.b[some, None]], 1)
+
+    def put(self, part: int, rows: np.ndarray, values: np.ndarray) -> None:
+        if part >= 0:
+            self.R[rows], self.Q[rows], self.b[rows] = values[:, :WIDTH], values[:, WIDTH:-1], values[:, -1]
+            return
         at = 0
-        for x in self.NAMES:
+        for x in self.SHARED:
             old = getattr(self, x)
-            setattr(self, x, values[at : at + old.size].reshape(old.shape).astype(np.float32))
+            setattr(self, x, values[at : at + old.size].reshape(old.shape).copy())
             at += old.size
 
     def _ascend(self, name: str, rows: np.ndarray | None, grad: np.ndarray) -> None:
         """Adagrad, on some rows or all; the sums of squares are a task's own."""
         value = getattr(self, name)
-        seen = self.step_sizes.setdefault(name, np.full(value.shape, 1e-2, np.float32))
+        seen = self.step_sizes.setdefault(name, np.full(value.shape, FIRST_STEP, np.float32))
         if rows is None:
             seen += grad * grad
             value += RATE * grad / np.sqrt(seen)
@@ -155,56 +211,81 @@ class LogBilinear:
         seen[own] += total * total
         value[own] += RATE * total / np.sqrt(seen[own])
 
+    def _estimate(self, name: str, bias: str, r: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Ascends by targets against NOISE shared draws from their unigram distribution; the gradient at ``r``."""
+        (total, shift), value, b = self.noise[name], getattr(self, name), getattr(self, bias)
+        noise = np.minimum(np.searchsorted(total, rng.random(NOISE) * total[-1], side="right"), len(b) - 1)
+        up = 1 / (1 + np.exp(np.clip((r * value[target]).sum(1) + b[target] - shift[target], -30, 30)))
+        down = -1 / (1 + np.exp(-np.clip(r @ value[noise].T + b[noise] - shift[noise], -30, 30)))
+        n = np.float32(1 / len(target))
+        up, down = up * n, down * n
+        grad_r = up[:, None] * value[target] + down @ value[noise]
+        rows = np.concatenate([target, noise])
+        self._ascend(name, rows, np.concatenate([up[:, None] * r, down.T @ r]))
+        self._ascend(bias, rows, np.concatenate([up, down.sum(0)]))
+        return grad_r
+
     def train(self, before: list[np.ndarray], target: np.ndarray, rng: np.random.Generator) -> None:
-        """One minibatch: targets against NOISE shared draws from the unigram distribution."""
-        noise = rng.choice(len(self.unigram), NOISE, p=self.unigram)
-        shift = np.log(NOISE * self.unigram).astype(np.float32)
+        """One minibatch, of symbols and of their blocks."""
         parts = [self.R[w] for w in before]
         r = sum(x @ c for x, c in zip(parts, self.C, strict=True))
-        up = 1 / (1 + np.exp(np.clip((r * self.Q[target]).sum(1) + self.b[target] - shift[target], -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(r @ self.Q[noise].T + self.b[noise] - shift[noise], -30, 30)))
-        n = np.float32(1 / len(target))
-        up, down = up * n, down * n
-        grad_r = up[:, None] * self.Q[target] + down @ self.Q[noise]
+        grad_r = self._estimate("Q", "b", r, target, rng) + self._estimate("S", "g", r, target // self.block, rng)
         grad_c = np.stack([x.T @ grad_r for x in parts])
-        words = np.concatenate([target, noise])
-        self._ascend("Q", words, np.concatenate([up[:, None] * r, down.T @ r]))
-        self._ascend("b", words, np.concatenate([up, down.sum(0)])[:, None].reshape(-1))
         self._ascend("R", np.concatenate(before), np.concatenate([grad_r @ c.T for c in self.C]))
         self._ascend("C", None, grad_c)
 
-    @property
-    def log_norm(self) -> np.ndarray:
-        """log of the normaliser of every context, by the mixed-radix number of its symbols."""
-        if not hasattr(self, "_log_norm"):
-            v = len(self.b)
-            parts = [self.R @ c for c in self.C]
-            out = np.empty(v**CONTEXT, np.float32)
-            for k in range(0, len(out), 4096):
-                code = np.arange(k, min(k + 4096, len(out)))
-                r = sum(p[code // v**i % v] for i, p in enumerate(parts))
-                s = r @ self.Q.T + self.b
-                top = s.max(1)
-                out[k : k + 4096] = top + np.log(np.exp(s - top[:, None]).sum(1))
-            self._log_norm = out
-        return self._log_norm
-
     def log_probs(self, before: list[np.ndarray], target: np.ndarray) -> np.ndarray:
         """Natural logarithms of normalised probabilities."""
-        v, out = len(self.b), np.empty(len(target))
-        parts = [self.R @ c for c in self.C]
-        for k in range(0, len(target), 1 << 15):
-            some = slice(k, k + (1 << 15))
-            r = sum(p[w[some]] for p, w in zip(parts, before, strict=True))
-            code = sum(w[some] * v**i for i, w in enumerate(before))
-            out[some] = (r * self.Q[target[some]]).sum(1) + self.b[target[some]] - self.log_norm[code]
-        return out
+        v = len(self.b)
+        code, at = np.unique(sum(w.astype(np.int64) * v**i for i, w in enumerate(before)), return_inverse=True)
+        r = sum(self.R[code // v**i % v] @ c for i, c in enumerate(self.C))
+        norm = np.empty(len(code), np.float32)
+        for k in range(0, len(code), 8192):
+            norm[k : k + 8192] = _log_sums(r[k : k + 8192] @ self.S.T + self.g)
+        block = target // self.block
+        out = (r[at] * self.S[block]).sum(1) + self.g[block] - norm[at]
+        pair, of = np.unique(block.astype(np.int64) * len(code) + at, return_inverse=True)
+        inner, where, which = np.empty(len(pair), np.float32), pair % len(code), pair // len(code)
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1, [len(pair)]])
+        for a, z in zip(edge[:-1], edge[1:], strict=True):
+            own = slice(which[a] * self.block, (which[a] + 1) * self.block)
+            for k in range(a, z, 8192):
+                some = slice(k, min(k + 8192, z))
+                inner[some] = _log_sums(r[where[some]] @ self.Q[own].T + self.b[own])
+        return out.astype(np.float64) + ((r[at] * self.Q[target]).sum(1) + self.b[target] - inner[of])
+
+
+def _log_sums(scores: np.ndarray) -> np.ndarray:
+    top = scores.max(1)
+    return top + np.log(np.exp(scores - top[:, None]).sum(1))
 
 
 def vocabulary_of(counts: DataFrame) -> Vocabulary:
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = top_by_count(counts, "n", ["key"], HEAD).toArrow()
-    return Vocabulary(top.column("key").to_numpy(), top.column("n").to_numpy(), int(whole.n or 0), int(whole.v))
+    total = int(whole.n or 0)
+    top = top_by_count(counts, "n", ["key"], max(HEAD, words_wanted(total) + 1)).toArrow()
+    endings = np.zeros((1 << TAIL_BITS, 2), np.int64)
+    ending = F.col("key").bitwiseAND(_ENDINGS).alias("e")
+    for row in counts.filter(F.col("key") != int(END)).groupBy(ending).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        endings[row.e] = row.n, row.v
+    return Vocabulary(top.column("key").to_numpy(), top.column("n").to_numpy(), total, int(whole.v), endings)
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """One row of the mean of a part's rows over the copies that changed them."""
+    rows = [np.frombuffer(x, np.int32) for x in table.column("rows").to_pylist()]
+    ids, back = np.unique(np.concatenate(rows), return_inverse=True)
+    total, weight, at = 0.0, np.zeros(len(ids)), 0
+    for x, w, own in zip(table.column("x"), table.column("w").to_pylist(), rows, strict=True):
+        values = np.frombuffer(x.as_py(), np.float32).reshape(len(own), -1)
+        if at == 0:
+            total = np.zeros((len(ids), values.shape[1]))
+        place = back[at : at + len(own)]
+        total[place] += values * w
+        weight[place] += w
+        at += len(own)
+    mean = (total / weight[:, None]).astype(np.float32)
+    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "rows": [ids.tobytes()], "x": [mean.tobytes()]})
 
 
 def train_model(df: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
@@ -214,9 +295,8 @@ def train_model(df: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> LogBi
         shared = broadcast_value(df.sparkSession, (words, model))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            vocabulary, start = shared.value
-            own = LogBilinear(vocabulary.unigram)
-            own.set_flat(start.flat())
+            vocabulary, start = _tables(shared)
+            own = start.copy()
             seen, rng = 0, np.random.default_rng(turn)
             for part in chunks(batches, "t"):
                 keys, offsets = token_keys(part.column("t"))
@@ -226,19 +306,19 @@ def train_model(df: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> LogBi
                     some = slice(k, k + MINIBATCH)
                     own.train([b[some] for b in before], symbols[some], rng)
                 seen += len(symbols)
-            if seen:
-                flat = own.flat()
+            for number, rows, values in own.changed() if seen else ():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat))), pa.array(flat.astype(np.float64)), pa.array(np.full(len(flat), float(seen)))],
-                    names=["k", "x", "w"],
+                    [pa.array([number], pa.int32()), pa.array([rows.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(values).tobytes()], pa.binary()), pa.array([float(seen)])],
+                    names=["part", "rows", "x", "w"],
                 )
 
-        copies = df.mapInArrow(run, "k long, x double, w double")
-        mean = copies.groupBy("k").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x")).toArrow()  # as many rows as parameters
-        if mean.num_rows:
-            flat = model.flat()
-            flat[mean.column("k").to_numpy()] = mean.column("x").to_numpy()
-            model.set_flat(flat)
+        copies = df.mapInArrow(run, "part int, rows binary, x binary, w double")
+        mean = copies.groupBy("part").applyInArrow(_mean, "part int, rows binary, x binary").toArrow()  # as large as the model
+        after = model.copy()
+        for part, rows, x in zip(*(mean.column(c).to_pylist() for c in ("part", "rows", "x")), strict=True):
+            rows = np.frombuffer(rows, np.int32)
+            after.put(part, rows, np.frombuffer(x, np.float32).reshape(len(rows), -1))
+        model = after
     return model
 
 
@@ -278,18 +358,18 @@ def lm_scores(df: DataFrame, text: str = "text", doc: str = "doc_id", held: int
             add = lambda x: np.add.reduceat(x, offsets[:-1])  # noqa: E731  every text has an end
             out = [part.column("r"), part.column("i"), part.column("h"), pa.array(np.diff(offsets))]
             out += [pa.array(add((count > 0).astype(np.int64))), pa.array(add(plus)), pa.array(add(logs))]
-            out += [pa.array(add(np.where(symbols == UNKNOWN, plus, 0.0))), pa.array(add((symbols == UNKNOWN).astype(np.int64)))]
+            out += [pa.array(add(np.where(vocabulary.shares_ending(symbols), plus, 0.0))), pa.array(add(vocabulary.log_outside[symbols]))]
             at = np.concatenate([[0], np.cumsum(tail)])[offsets]
             out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys[tail])))
-            yield pa.RecordBatch.from_arrays(out, names=["r", doc, "held_out", "n_tokens", "known", "plus", "logs", "unk_plus", "unk", "tail"])
+            yield pa.RecordBatch.from_arrays(out, names=["r", doc, "held_out", "n_tokens", "known", "plus", "logs", "shared_plus", "outside", "tail"])
 
-    fields = "held_out boolean, n_tokens long, known long, plus double, logs double, unk_plus double, unk long, tail array<long>"
+    fields = "held_out boolean, n_tokens long, known long, plus double, logs double, shared_plus double, outside double, tail array<long>"
     first = checkpointed(rows.mapInArrow(run, f"r long, `{doc}` {kind}, {fields}"))
     tails = first.select("r", F.explode("tail").alias("key")).join(counts, "key")
     sums = tails.groupBy("r").agg(F.count("*").alias("t_known"), F.sum(F.log10(F.col("n") + 1)).alias("t_plus"))
     joined = first.drop("tail").join(sums, "r", "left").na.fill(0, ["t_known", "t_plus"])
     base = F.col("plus") + F.col("t_plus") - F.col("n_tokens") * F.log10(F.lit(float(words.total + words.distinct + 1)))
-    own = F.col("logs") + F.col("unk_plus") + F.col("t_plus") - F.col("unk") * F.log10(F.lit(words.outside))
+    own = F.col("logs") + F.col("shared_plus") + F.col("t_plus") - F.col("outside")
     return joined.select(
         doc,
         "held_out",
