@@ -1,10 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character 4-grams, trained on trusted text.
 
-Characters are mapped to SYMBOLS classes: the most frequent ones of the trusted text, one for all others, one for the
-start of a text. 4-grams of all trusted texts are counted in Spark; counts of counts, context totals and continuation
-counts come from grouping those tables, and the probabilities of each order from joins of the count tables, sharded
-by context, with the next lower order. The result has SYMBOLS**4 cells at most whatever the input, so it is broadcast
-as a dense table of bits, and every whole text of the corpus is scored against it.
+Characters are code points, all of them: none share a symbol, and the model gives each of Unicode's CHARACTERS a
+probability, those that no trusted text holds an equal share of what the lowest order leaves. 4-grams of all trusted
+texts are counted in Spark; counts of counts, context totals and continuation counts come from grouping those tables,
+and the probabilities of each order from joins of the count tables, sharded by context, with the next lower order. The
+result is broadcast, as sorted tables of the n-grams met, and every whole text of the corpus is scored against it.
 
 A text is rejected when its perplexity passes its language's fence: the upper quantile of the language's trusted texts
 plus FENCE times the quantiles' distance. Languages without trusted text take the fence of all trusted text.
@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 from .bitmap import split_by_id, without
 from .util import broadcast_value, checkpointed, chunks, small
 
-BITS = 6
-SYMBOLS = 1 << BITS
-START, RARE = SYMBOLS - 1, SYMBOLS - 2
+#: Bits of a code point; START, before a text, is none.
+BITS = 21
+START = (1 << BITS) - 1
+CHARACTERS = 0x110000
+#: Cells of a row of KneserNey.bits.
+SYMBOLS = 64
 ORDER = 4
 #: Quantiles of the trusted texts' bits per character, and how many times their distance the fence is beyond the upper one.
 QUANTILES = (0.25, 0.75)
@@ -40,30 +43,58 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def four_grams(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One number for each character: it and the ORDER - 1 before it, itself lowest; START before a text."""
-    at, first = np.arange(len(symbols)), np.repeat(offsets[:-1], np.diff(offsets))
-    gram = symbols.astype(np.uint32)
-    for back in range(1, ORDER):
-        before = np.full(len(symbols), START, np.uint32)
-        before[back:] = symbols[:-back]
-        gram = gram | np.where(at - back >= first, before, np.uint32(START)) << np.uint32(BITS * back)
-    return gram
+def four_grams(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 4-grams as the ORDER - 1 characters before (START before a text) and the character; each place's number."""
+    seen = np.zeros(CHARACTERS, np.int64)
+    seen[points] = 1
+    letters = np.append(np.flatnonzero(seen), START)
+    seen[letters[:-1]] = np.arange(len(letters) - 1)
+    base, own = len(letters), seen[points]
+    at, first = np.arange(len(points)), np.repeat(offsets[:-1], np.diff(offsets))
+    code = np.zeros(len(points), np.int64)
+    for back in range(ORDER - 1, 0, -1):
+        before = np.full(len(points), base - 1, np.int64)
+        before[back:] = own[:-back]
+        code = code * base + np.where(at - back >= first, before, base - 1)
+    contexts = None
+    if base**ORDER >= 1 << 63:
+        contexts, code = np.unique(code, return_inverse=True)
+    code = code * base + own
+    grams, place = np.unique(code.astype(np.uint32) if base**ORDER <= 1 << 32 else code, return_inverse=True)
+    left, right = np.divmod(grams.astype(np.int64), base)
+    left = left if contexts is None else contexts[left]
+    context = sum(letters[left // base**k % base] << BITS * k for k in range(ORDER - 1))
+    return context, letters[right], place
+
+
+def _summed(context: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((c, context))
+    context, c = context[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(context) != 0) | (np.diff(c) != 0)])) if len(c) else np.empty(0, np.int64)
+    return context[first], c[first], np.add.reduceat(n[order], first) if len(c) else n
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """(context, c, n) of all 4-grams of the rows' texts ``t``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.int64)
+        held = none, none, none
 
-def _counted(df: DataFrame, of) -> DataFrame:
-    """(key, n) of all that ``of`` (code points, offsets) gives for the rows' texts ``t``."""
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(held[0]), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 200_000]) for x in held], names=["context", "c", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)  # SYMBOLS**ORDER, or the code points, at most
         for part in chunks(batches, "t", _PART):
-            more, times = np.unique(of(*code_points(part.column("t"))), return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, more.astype(np.int64)]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([n, times]), len(keys)).astype(np.int64)
-        for k in range(0, len(keys), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 200_000]), pa.array(n[k : k + 200_000])], names=["key", "n"])
+            context, c, place = four_grams(*code_points(part.column("t")))
+            more = context, c, np.bincount(place, minlength=len(c))
+            held = _summed(*(np.concatenate(x).astype(np.int64) for x in zip(held, more, strict=True)))
+            if len(held[0]) > 1_000_000:
+                yield from flush()
+                held = none, none, none
+        yield from flush()
 
-    return df.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(run, "context long, c long, n long").groupBy("context", "c").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts_of_counts: list[int]) -> list[float]:
@@ -74,72 +105,100 @@ def discounts(counts_of_counts: list[int]) -> list[float]:
     return [min(max(d, 0.1), k - 0.05) for k, d in enumerate(raw, 1)]
 
 
-class KneserNey:
-    """Bits of every (context, character) cell, dense, and the map from characters to symbols."""
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key, and whether it is there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
 
-    def __init__(self, alphabet: list[int], bits: np.ndarray):
-        self.alphabet, self.bits = alphabet, bits
-        self.low = np.full(1 << 16, RARE, np.uint8)
-        self.low[[c for c in alphabet if c < 1 << 16]] = [k for k, c in enumerate(alphabet) if c < 1 << 16]
 
-    def symbols(self, points: np.ndarray) -> np.ndarray:
-        return np.where(points < 1 << 16, self.low[np.minimum(points, (1 << 16) - 1)], np.uint8(RARE))
+class KneserNey:
+    """Probabilities of the n-grams met, for each order from 1, and what their contexts leave to the next lower order."""
+
+    def __init__(self):
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, met: pa.Table, contexts: pa.Table) -> None:
+        """The next order: (context, c, p) and (context, gamma)."""
+        left = contexts.column("context").to_numpy()
+        order = np.argsort(left)
+        left, gamma = left[order], contexts.column("gamma").to_numpy()[order]
+        keys = np.searchsorted(left, met.column("context").to_numpy()) << BITS | met.column("c").to_numpy()
+        order = np.argsort(keys)
+        self.levels.append((left, gamma, keys[order], met.column("p").to_numpy()[order]))
+
+    def gram_bits(self, context: np.ndarray, c: np.ndarray) -> np.ndarray:
+        p = np.full(len(c), 1 / CHARACTERS)
+        for order, (left, gamma, keys, own) in enumerate(self.levels):
+            at, known = _find(left, context & ((1 << BITS * order) - 1))
+            place, met = _find(keys, at << BITS | c)
+            p = np.where(known & met, own[place], np.where(known, gamma[at] * p, p))
+        return -np.log2(p)
+
+    @property
+    def bits(self) -> np.ndarray:
+        """Of each longest context met: the most frequent characters, then all others as one; SYMBOLS cells a context."""
+        contexts = self.levels[-1][0]
+        frequent = self.levels[0][2][np.argsort(-self.levels[0][3], kind="stable")][: SYMBOLS - 1]
+        cells = np.zeros((len(contexts), SYMBOLS))
+        for k, c in enumerate(frequent):
+            cells[:, k] = np.exp2(-self.gram_bits(contexts, np.full(len(contexts), c)))
+        others = self.levels[0][2][~np.isin(self.levels[0][2], frequent)]
+        for c in others:
+            cells[:, -1] += np.exp2(-self.gram_bits(contexts, np.full(len(contexts), c)))
+        unmet = np.setdiff1d(np.arange(CHARACTERS), self.levels[0][2])[:1]
+        cells[:, -1] += (CHARACTERS - len(self.levels[0][2])) * np.exp2(-self.gram_bits(contexts, np.repeat(unmet, len(contexts))))
+        with np.errstate(divide="ignore"):
+            return -np.log2(cells).reshape(-1)
 
     def text_bits(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        cost = self.bits[four_grams(self.symbols(points), offsets)]
+        context, c, place = four_grams(points, offsets)
+        cost = self.gram_bits(context, c)[place]
         out = np.zeros(len(offsets) - 1)
         full = np.flatnonzero(np.diff(offsets))
         if len(full):
-            out[full] = np.add.reduceat(cost, offsets[full], dtype=np.float64)
+            out[full] = np.add.reduceat(cost, offsets[full])
         return out
 
 
 def probabilities(grams: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: (key, p) of the n-grams met, and (context, gamma) of their contexts.
+    """For each order from 1: (context, c, p) of the n-grams met, and (context, gamma) of their contexts.
 
-    ``grams`` holds (key, n) of the highest order; lower orders count distinct left neighbours.
+    ``grams`` holds (context, c, n) of the highest order; lower orders count distinct left neighbours.
     """
+    shorter = lambda order: F.col("context").bitwiseAND((1 << BITS * (order - 1)) - 1)
     levels = [grams]
     for order in range(ORDER - 1, 0, -1):
-        levels.append(levels[-1].groupBy((F.col("key") % (1 << BITS * order)).alias("key")).agg(F.count("*").alias("n")))
+        levels.append(levels[-1].groupBy(shorter(order).alias("context"), "c").agg(F.count("*").alias("n")))
     out: list[tuple[DataFrame, DataFrame]] = []
     for order, level in enumerate(reversed(levels), 1):
         level = checkpointed(level)
         times = {r.n: r.k for r in level.filter("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
         d = discounts([times.get(k, 0) for k in (1, 2, 3, 4)])
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        level = level.withColumns({"context": F.shiftright("key", BITS), "cut": cut})
+        level = level.withColumn("cut", cut)
         contexts = level.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("gamma"))
         met = level.join(contexts, "context")
         if order == 1:
-            lower = met.withColumn("below", F.lit(1.0 / SYMBOLS))
+            lower = met.withColumn("below", F.lit(1.0 / CHARACTERS))
         else:
-            below = out[-1][0].select(F.col("key").alias("suffix"), F.col("p").alias("below"))
-            lower = met.withColumn("suffix", F.col("key") % (1 << BITS * (order - 1))).join(below, "suffix")
+            below = out[-1][0].select(F.col("context").alias("suffix"), "c", F.col("p").alias("below"))
+            lower = met.withColumn("suffix", shorter(order - 1)).join(below, ["suffix", "c"])
         p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("below")
-        out.append((checkpointed(lower.select("key", p.alias("p"))), contexts.select("context", "gamma")))
+        out.append((checkpointed(lower.select("context", "c", p.alias("p"))), contexts.select("context", "gamma")))
     return out
 
 
 def train(df: DataFrame, text: str = "text") -> KneserNey | None:
     """The model of the texts of ``df``, all of them; None without any character."""
-    rows = df.select(F.col(text).alias("t")).filter("t is not null")
-    points = _counted(rows, lambda data, offsets: data)
-    alphabet = [r.key for r in points.orderBy(F.desc("n"), "key").limit(RARE).collect()]
-    if not alphabet:
+    grams = checkpointed(counted(df.select(F.col(text).alias("t")).filter("t is not null")))
+    if not grams.limit(1).count():
         return None
-    mapping = KneserNey(alphabet, np.empty(0, np.float16))
-    grams = checkpointed(_counted(rows, lambda data, offsets: four_grams(mapping.symbols(data), offsets)))
-    table = np.full(1, 1.0 / SYMBOLS, np.float32)
-    for order, (met, contexts) in enumerate(probabilities(grams), 1):
-        seen, back = met.toArrow(), contexts.toArrow()  # SYMBOLS**order and SYMBOLS**(order - 1) rows at most
-        gamma = np.ones(SYMBOLS ** (order - 1), np.float32)
-        gamma[back.column("context").to_numpy()] = back.column("gamma").to_numpy()
-        below = table.reshape(-1, SYMBOLS) if order > 1 else np.full((1, SYMBOLS), table[0], np.float32)
-        above = gamma.reshape(-1, len(below))[:, :, None] * below[None]
-        table = above.reshape(-1)
-        table[seen.column("key").to_numpy()] = seen.column("p").to_numpy()
-    return KneserNey(alphabet, (-np.log2(table)).astype(np.float16))
+    model = KneserNey()
+    for met, contexts in probabilities(grams):
+        model.add(met.toArrow(), contexts.toArrow())
+    return model
 
 
 def score(df: DataFrame, model: KneserNey | None, text: str = "text", doc: str = "doc_id", lang: str = "lang") -> DataFrame:
@@ -151,7 +210,7 @@ def score(df: DataFrame, model: KneserNey | None, text: str = "text", doc: str =
         for part in chunks(batches, "t", _PART):
             points, offsets = code_points(part.column("t"))
             n = np.diff(offsets)
-            bits = shared.value.text_bits(points, offsets) if shared.value else n * float(BITS)
+            bits = shared.value.text_bits(points, offsets) if shared.value else n * np.log2(CHARACTERS)
             yield pa.RecordBatch.from_arrays(
                 [part.column("i"), part.column("l"), pa.array(n), pa.array(bits)], names=[doc, "lang", "scored_chars", "bits"]
             )

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from seedloom.llm import lbl_score
+from seedloom.llm import kn_quality, lbl_score
 
 
 def test_lm_symbols_grow_and_all_words_sum_to_one():
@@ -36,3 +36,49 @@ def test_lm_learns_what_follows_words_beyond_the_thousandth(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = {r.doc_id: r.score for r in lbl_score.lm_scores(df).filter("doc_id >= 1000").collect()}
     assert got[1000] > got[1001] + 1
+
+
+def test_quality_rejects_smooth_junk_of_other_characters(spark):
+    rng = np.random.default_rng(4)
+    words = "the ship of north is in water and wind was with it for day that by sea a while 7 years ago, In 1893 They saw 20 boats".split()
+    rows = [(k, " ".join(rng.choice(words, 120)), "en") for k in range(60)]
+    alphabets = {900: range(48, 58), 901: range(0x4E00, 0x4E40), 902: [0xFFFD], 903: range(0x1F600, 0x1F640), 904: range(0x391, 0x3C9)}
+    rows += [(k, "".join(chr(c) for c in rng.choice(list(a), 600)), "en") for k, a in alphabets.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(k,) for k in range(50)], "doc_id long")
+    got = {r.doc_id: r.accepted for r in kn_quality.quality(df, trusted).collect()}
+    assert [k for k in alphabets if got[k]] == []
+    assert all(got[k] for k in range(60))
+
+
+def test_kneser_ney_equals_plain_python(spark):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abc dé😀"), int(n))) for n in rng.integers(1, 60, 12)]
+    model = kn_quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    levels = [{}]
+    for t in texts:
+        t = "^^^" + t
+        for k in range(3, len(t)):
+            levels[0][t[k - 3 : k + 1]] = levels[0].get(t[k - 3 : k + 1], 0) + 1
+    for _ in range(3):
+        lower = {}
+        for g in levels[-1]:
+            lower[g[1:]] = lower.get(g[1:], 0) + 1
+        levels.append(lower)
+
+    def p(gram):
+        if not gram:
+            return 1 / 0x110000
+        level = levels[4 - len(gram)]
+        d = kn_quality.discounts([sum(n == k for n in level.values()) for k in (1, 2, 3, 4)])
+        cut = lambda n: d[min(n, 3) - 1]
+        same = [n for g, n in level.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram[1:])
+        n = level.get(gram, 0)
+        return ((n - cut(n)) if n else 0) / sum(same) + sum(map(cut, same)) / sum(same) * p(gram[1:])
+
+    for t in ["abc d", "é😀zz", texts[0], "日本a", ""]:
+        want = -sum(np.log2(p(("^^^" + t)[k - 3 : k + 1])) for k in range(3, len(t) + 3))
+        points, offsets = np.array([ord(c) for c in t], np.uint32), np.array([0, len(t)])
+        assert model.text_bits(points, offsets)[0] == pytest.approx(want)
