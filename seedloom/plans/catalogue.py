@@ -110,6 +110,7 @@ QUERIES = {
     "ets_solver_summary": lambda s, d: P.solver_summary(P.select_seeds(seed_table(s, d), 4)),
     "optimal_seeds": lambda s, d: P.optimal_seeds(cell_table(s, d), 2, SHORTEST),
     "read_optimal_seeds": lambda s, d: P.optimal_seeds(P.read_cells(reads(s, d), contigs(s, d), SHORTEST, UNIT), 3, SHORTEST),
+    "read_optimal_seeds_full": lambda s, d: P.chosen_seeds(P.growing_cells(reads(s, d), contigs(s, d), SHORTEST, 2 * SHORTEST), 3),
     "read_seed_histogram": lambda s, d: P.select_seeds(seed_table(s, d), 4).groupBy(long("total_freq")).agg(F.count("*").alias("reads")),
 }
 
@@ -182,6 +183,15 @@ CELLS = ", ".join(
 )
 ALL_CELLS = " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(SHORTEST, UNIT + 1))
 
+#: Windows of all lengths that leave two seeds of SHORTEST in a read of 48 bases.
+LONGEST = 48 - 2 * SHORTEST
+EVERY_CELL = " UNION ALL ".join(
+    f"""SELECT read_no, beg, beg + {k} AS fin, coalesce(n, 0) AS freq FROM
+    (SELECT read_no, beg, substring(seq, beg + 1, {k}) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - {k - 1})) AS beg FROM reads))
+    LEFT JOIN (SELECT kmer, count(*) AS n FROM w{k} GROUP BY kmer) USING (kmer)"""
+    for k in range(SHORTEST, LONGEST + 1)
+)
+
 ORACLE_SQL = {
     "normalize_contigs": f"SELECT doc_id, md5({NORMAL}) AS digest, length(text) AS length FROM documents",
     "global_offsets": f"WITH {CONTIGS} SELECT seq_no, length(seq) AS length, coalesce(sum(length(seq) + 1) OVER (ORDER BY seq_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS global_off FROM contigs",
@@ -238,6 +248,11 @@ ORACLE_SQL = {
         two AS (SELECT c.read_no, c.fin, min(o.cost + c.freq) AS cost FROM cells c JOIN one o ON o.read_no = c.read_no AND o.fin <= c.beg GROUP BY ALL),
         three AS (SELECT c.read_no, min(t.cost + c.freq) AS cost FROM cells c JOIN two t ON t.read_no = c.read_no AND t.fin <= c.beg GROUP BY ALL)
         SELECT read_no, coalesce(cost, -1)::BIGINT AS total_freq FROM (SELECT DISTINCT read_no FROM cells) LEFT JOIN three USING (read_no)""",
+    "read_optimal_seeds_full": f"""WITH {CONTIGS}, {READS}, {", ".join(_grams(k, f"w{k}") for k in range(SHORTEST, LONGEST + 1))}, cells AS MATERIALIZED ({EVERY_CELL}),
+        one AS (SELECT read_no, fin, min({{'cost': freq, 'path': [beg, fin]}}) AS best FROM cells GROUP BY ALL),
+        two AS (SELECT c.read_no, c.fin, min({{'cost': o.best.cost + c.freq, 'path': o.best.path || [c.beg, c.fin]}}) AS best FROM cells c JOIN one o ON o.read_no = c.read_no AND o.fin <= c.beg GROUP BY ALL),
+        three AS (SELECT c.read_no, min({{'cost': t.best.cost + c.freq, 'path': t.best.path || [c.beg, c.fin]}}) AS best FROM cells c JOIN two t ON t.read_no = c.read_no AND t.fin <= c.beg GROUP BY ALL)
+        SELECT read_no, coalesce(best.cost, -1)::BIGINT AS total_freq, coalesce(array_to_string(best.path, ','), '') AS chosen FROM (SELECT DISTINCT read_no FROM cells) LEFT JOIN three USING (read_no)""",
     "read_seed_histogram": f"WITH {TABLE}, {SOLVED} SELECT total_freq, count(*) AS reads FROM solved GROUP BY total_freq",
 }
 
