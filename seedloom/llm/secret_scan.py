@@ -3,14 +3,16 @@
 Two first-order Markov chains over characters are trained from labelled samples: random strings (the values that the
 fixed patterns find, and seeded random strings over the usual alphabets) against ordinary identifiers (words of the
 corpus, alone and joined as snake_case or camelCase). A candidate run of identifier characters is reported as a
-"markov" span when its log-likelihood ratio per character, random over ordinary, passes a threshold that no ordinary
-training identifier reaches. The scan covers every whole text; only the training sample is bounded, by SAMPLE_DOCS.
+"markov" span when its log-likelihood ratio, random over ordinary, passes fixed bounds, in all and per character; what
+the sample holds does not move them. Ordinary are only whole runs that several sampled documents hold, so that neither
+secrets nor their fragments train that model. The scan covers every whole text; only the training sample is bounded, by SAMPLE_DOCS.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,18 @@ SAMPLE_DOCS = 2000
 #: Words that each of them gives to the sample of ordinary identifiers, at most.
 SAMPLE_WORDS = 400
 #: Characters of a candidate run that the models judge, at least.
-LEAST = 20
+LEAST = 16
+#: Documents of the sample that hold an ordinary word, at least.
+SHARED_BY = 2
+#: Bits of the ratio that outweigh how rare secrets are, in all and per character: runs with digits, runs without.
+PRIOR = {True: (24.0, 1.0), False: (40.0, 1.5)}
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 HINT = re.compile(r"passw|secret|token|key")
+WORD_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z]{2,24}(?![A-Za-z0-9+/_-])")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST)
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
@@ -65,29 +72,32 @@ class MarkovScorer:
 
     def __init__(self, random: list[str], ordinary: list[str]):
         self.ratio = _chain(random) - _chain(ordinary)
-        scores = [self.score(s) for s in ordinary if len(s) >= LEAST // 2]
-        self.threshold = max(1.0, max(scores, default=0.0) * 1.05)
 
     def score(self, s: str) -> float:
         codes = CODE[np.frombuffer(s.encode("ascii", "replace"), np.uint8) & 127]
         return float(self.ratio[np.concatenate([[len(ALPHABET)], codes[:-1]]), codes].mean()) if len(codes) else 0.0
 
     def is_random(self, s: str) -> bool:
-        """Random by the ratio, with letters and digits mixed: digit runs are numbers, letter runs long words."""
-        mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-        return mixed and self.score(s) > self.threshold
+        """Random by the ratio; runs without letters are numbers."""
+        if not any(c.isalpha() for c in s):
+            return False
+        whole, each = PRIOR[any(c.isdigit() for c in s)]
+        return self.score(s) > max(whole / len(s), each)
 
 
 def train(texts: list[str], seed: int = 7) -> MarkovScorer:
-    """Both models from labelled samples: what the patterns find in the texts, and their other words."""
+    """Both models from labelled samples: what the patterns find in the texts, and the words that texts share."""
     rng = np.random.default_rng(seed)
-    random, ordinary = [], []
+    random, ordinary, texts_with = [], [], Counter()
     for text in texts:
         spans = base_spans(text)
         random += [re.split(r"[\"' :=]", text[a:b])[-1] for _, a, b in spans]
         for a, b in reversed([s[1:] for s in spans]):
             text = text[:a] + " " + text[b:]
-        ordinary += re.findall(r"[A-Za-z]{2,24}", text)[:SAMPLE_WORDS]
+        found = WORD_RUN.findall(text)[:SAMPLE_WORDS]
+        ordinary += found
+        texts_with.update(set(found))
+    ordinary = [w for w in ordinary if texts_with[w] >= SHARED_BY]
     for size, letters in ((16, "0123456789abcdef"), (36, ALPHABET[:26] + ALPHABET[52:62]), (36, ALPHABET[26:62]), (62, ALPHABET[:62]), (64, ALPHABET[:64])):
         random += ["".join(letters[k % len(letters)] for k in rng.integers(0, size, int(n))) for n in rng.integers(20, 48, 400)]
     words = sorted(set(ordinary)) or ["the", "value", "index", "name"]

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from seedloom.llm import kn_quality, lbl_score
+from seedloom.llm import kn_quality, lbl_score, secret_scan
 
 
 def test_lm_symbols_grow_and_all_words_sum_to_one():
@@ -82,3 +82,18 @@ def test_kneser_ney_equals_plain_python(spark):
         want = -sum(np.log2(p(("^^^" + t)[k - 3 : k + 1])) for k in range(3, len(t) + 3))
         points, offsets = np.array([ord(c) for c in t], np.uint32), np.array([0, len(t)])
         assert model.text_bits(points, offsets)[0] == pytest.approx(want)
+
+
+def test_secret_models_withstand_bare_tokens_in_the_sample():
+    rng = np.random.default_rng(8)
+    make = lambda letters, n: "".join(rng.choice(list(letters), n))
+    base62, words = secret_scan.ALPHABET[:62], "the ship of north wind water with that value index name read count table state house light".split()
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(200)]
+    planted = [make(base62, 40) for _ in range(20)]
+    model = secret_scan.train([t + (" " + planted[k] if k < 20 else "") for k, t in enumerate(texts)])
+    assert all(map(model.is_random, planted))
+    for letters, n in (("0123456789abcdef", 31), (base62, 24), (base62, 40), (secret_scan.ALPHABET[:64], 40), (base62, 16), (base62[:52], 32)):
+        assert sum(model.is_random(make(letters, n)) for _ in range(200)) >= 190, (letters, n)
+    plain = ["the_north_wind_of_value_2", "IndexOfTheWaterTable2", "state/house/light/name", "thestateofthenorthwind"]
+    assert not any(map(model.is_random, plain))
+    assert [k for k, _, _ in secret_scan.all_spans("the value " + planted[0][:18] + " of", model)] == ["markov"]
