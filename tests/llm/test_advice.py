@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from seedloom.llm import kn_quality, lbl_score, secret_scan
+from seedloom.llm import kn_quality, lbl_score, nn_descent, secret_scan
 
 
 def test_lm_symbols_grow_and_all_words_sum_to_one():
@@ -97,3 +97,18 @@ def test_secret_models_withstand_bare_tokens_in_the_sample():
     plain = ["the_north_wind_of_value_2", "IndexOfTheWaterTable2", "state/house/light/name", "thestateofthenorthwind"]
     assert not any(map(model.is_random, plain))
     assert [k for k, _, _ in secret_scan.all_spans("the value " + planted[0][:18] + " of", model)] == ["markov"]
+
+
+def test_nearest_rows_withstand_a_large_component_and_other_lengths(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[7, 3] = 1000
+    y = rng.normal(size=(40, 5)).astype(np.float32)
+    rows = [(10_000 + 100 * k, v.tolist()) for k, v in enumerate(y)] + [(k, v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = {}
+    for r in nn_descent.nearest_rows(df, "vec_id % 100 = 0").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    near = lambda a, q: set(np.argsort(((a.astype(np.float64) - a[q]) ** 2).sum(1))[1:11].tolist())
+    assert sum(len(got[q] & near(x, q)) for q in range(0, 3000, 100)) >= 285
+    assert all(got[10_000 + 100 * k] == {10_000 + 100 * i for i in near(y, k)} for k in range(40))
