@@ -3,11 +3,15 @@
 Characters are code points, all of them: none share a symbol, and the model gives each of Unicode's CHARACTERS a
 probability, those that no trusted text holds an equal share of what the lowest order leaves. 4-grams of all trusted
 texts are counted in Spark; counts of counts, context totals and continuation counts come from grouping those tables,
-and the probabilities of each order from joins of the count tables, sharded by context, with the next lower order. The
-result is broadcast, as sorted tables of the n-grams met, and every whole text of the corpus is scored against it.
+and the probabilities of each order from joins of the count tables, sharded by context, with the next lower order.
 
-A text is rejected when its perplexity passes its language's fence: the upper quantile of the language's trusted texts
-plus FENCE times the quantiles' distance. Languages without trusted text take the fence of all trusted text.
+Nothing of the model is broadcast or reaches the driver. The corpus is packed into blocks of whole rows, about
+BLOCK_BYTES of text each; a block's distinct 4-grams are joined with the count tables, by their keys, order by order
+where a higher order lacks them, and their code lengths return to the block, which adds them up for each document. So a
+common 4-gram is shuffled once a block, not once a document, and no key has more rows than there are blocks.
+
+A text is rejected when its perplexity passes its language's threshold: the QUANTILE of the language's trusted texts,
+times 2**SLACK, since those are the model's own training texts. Languages without trusted text take the quantile of all.
 """
 
 from __future__ import annotations
@@ -16,24 +20,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import split_by_id, without
-from .util import broadcast_value, checkpointed, chunks, small
+from .bitmap import split_by_id
+from .util import checkpointed, chunks, small
 
 #: Bits of a code point; START, before a text, is none.
 BITS = 21
 START = (1 << BITS) - 1
 CHARACTERS = 0x110000
-#: Cells of a row of KneserNey.bits.
-SYMBOLS = 64
 ORDER = 4
-#: Quantiles of the trusted texts' bits per character, and how many times their distance the fence is beyond the upper one.
-QUANTILES = (0.25, 0.75)
-FENCE = 3.5
+#: Quantile of the trusted texts' bits per character, and bits beyond it that are still accepted.
+QUANTILE, SLACK = 0.99, 0.15
 #: Characters that a text's own bits per character weigh against; shorter texts are drawn to their language's median.
 PRIOR_CHARS = 100
+#: Bytes of text in a block of rows, about, and in the parts of it that are held as numbers at once.
+BLOCK_BYTES = 8 << 20
 _PART = 1 << 20
 
 
@@ -67,32 +71,35 @@ def four_grams(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return context, letters[right], place
 
 
-def _summed(context: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _summed(held: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    context, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((c, context))
     context, c = context[order], c[order]
     first = np.flatnonzero(np.concatenate([[True], (np.diff(context) != 0) | (np.diff(c) != 0)])) if len(c) else np.empty(0, np.int64)
-    return context[first], c[first], np.add.reduceat(n[order], first) if len(c) else n
+    return [(context[first], c[first], np.add.reduceat(n[order], first) if len(c) else n)]
 
 
 def counted(df: DataFrame) -> DataFrame:
     """(context, c, n) of all 4-grams of the rows' texts ``t``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, np.int64)
-        held = none, none, none
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(held[0]), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 200_000]) for x in held], names=["context", "c", "n"])
+            own = _summed(held)[0]
+            held.clear()
+            for k in range(0, len(own[0]), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 200_000]) for x in own], names=["context", "c", "n"])
 
         for part in chunks(batches, "t", _PART):
             context, c, place = four_grams(*code_points(part.column("t")))
-            more = context, c, np.bincount(place, minlength=len(c))
-            held = _summed(*(np.concatenate(x).astype(np.int64) for x in zip(held, more, strict=True)))
-            if len(held[0]) > 1_000_000:
-                yield from flush()
-                held = none, none, none
-        yield from flush()
+            held.append((context, c, np.bincount(place, minlength=len(c)).astype(np.int64)))
+            if len(held) >= 16:
+                held[:] = _summed(held)
+                if len(held[0][0]) > 1_000_000:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     return df.mapInArrow(run, "context long, c long, n long").groupBy("context", "c").agg(F.sum("n").alias("n"))
 
@@ -105,63 +112,6 @@ def discounts(counts_of_counts: list[int]) -> list[float]:
     return [min(max(d, 0.1), k - 0.05) for k, d in enumerate(raw, 1)]
 
 
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each key, and whether it is there."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
-
-
-class KneserNey:
-    """Probabilities of the n-grams met, for each order from 1, and what their contexts leave to the next lower order."""
-
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def add(self, met: pa.Table, contexts: pa.Table) -> None:
-        """The next order: (context, c, p) and (context, gamma)."""
-        left = contexts.column("context").to_numpy()
-        order = np.argsort(left)
-        left, gamma = left[order], contexts.column("gamma").to_numpy()[order]
-        keys = np.searchsorted(left, met.column("context").to_numpy()) << BITS | met.column("c").to_numpy()
-        order = np.argsort(keys)
-        self.levels.append((left, gamma, keys[order], met.column("p").to_numpy()[order]))
-
-    def gram_bits(self, context: np.ndarray, c: np.ndarray) -> np.ndarray:
-        p = np.full(len(c), 1 / CHARACTERS)
-        for order, (left, gamma, keys, own) in enumerate(self.levels):
-            at, known = _find(left, context & ((1 << BITS * order) - 1))
-            place, met = _find(keys, at << BITS | c)
-            p = np.where(known & met, own[place], np.where(known, gamma[at] * p, p))
-        return -np.log2(p)
-
-    @property
-    def bits(self) -> np.ndarray:
-        """Of each longest context met: the most frequent characters, then all others as one; SYMBOLS cells a context."""
-        contexts = self.levels[-1][0]
-        frequent = self.levels[0][2][np.argsort(-self.levels[0][3], kind="stable")][: SYMBOLS - 1]
-        cells = np.zeros((len(contexts), SYMBOLS))
-        for k, c in enumerate(frequent):
-            cells[:, k] = np.exp2(-self.gram_bits(contexts, np.full(len(contexts), c)))
-        others = self.levels[0][2][~np.isin(self.levels[0][2], frequent)]
-        for c in others:
-            cells[:, -1] += np.exp2(-self.gram_bits(contexts, np.full(len(contexts), c)))
-        unmet = np.setdiff1d(np.arange(CHARACTERS), self.levels[0][2])[:1]
-        cells[:, -1] += (CHARACTERS - len(self.levels[0][2])) * np.exp2(-self.gram_bits(contexts, np.repeat(unmet, len(contexts))))
-        with np.errstate(divide="ignore"):
-            return -np.log2(cells).reshape(-1)
-
-    def text_bits(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        context, c, place = four_grams(points, offsets)
-        cost = self.gram_bits(context, c)[place]
-        out = np.zeros(len(offsets) - 1)
-        full = np.flatnonzero(np.diff(offsets))
-        if len(full):
-            out[full] = np.add.reduceat(cost, offsets[full])
-        return out
-
-
 def probabilities(grams: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """For each order from 1: (context, c, p) of the n-grams met, and (context, gamma) of their contexts.
 
@@ -190,64 +140,174 @@ def probabilities(grams: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     return out
 
 
-def train(df: DataFrame, text: str = "text") -> KneserNey | None:
-    """The model of the texts of ``df``, all of them; None without any character."""
-    grams = checkpointed(counted(df.select(F.col(text).alias("t")).filter("t is not null")))
-    if not grams.limit(1).count():
-        return None
-    model = KneserNey()
-    for met, contexts in probabilities(grams):
-        model.add(met.toArrow(), contexts.toArrow())
-    return model
+def train(df: DataFrame, text: str = "text") -> list[tuple[DataFrame, DataFrame]]:
+    """The model of the texts of ``df``, all of them, as probabilities() has it; empty tables without any character."""
+    return probabilities(checkpointed(counted(df.select(F.col(text).alias("t")).filter("t is not null"))))
 
 
-def score(df: DataFrame, model: KneserNey | None, text: str = "text", doc: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """Per row: doc, lang (null: und), scored_chars, bits (of the whole text)."""
-    shared = broadcast_value(df.sparkSession, model)
-    kind = df.schema[doc].dataType.simpleString()
+def priced(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(context, c, p) of distinct n-grams (context, c) of the model's order, by joins with its tables.
+
+    N-grams that an order has not met take their probability from the next lower one, by what their context leaves.
+    """
+    if not model:
+        return grams.withColumn("p", F.lit(1.0 / CHARACTERS))
+    met, contexts = model[-1]
+    order = len(model)
+    found = grams.join(met, ["context", "c"], "left").join(contexts, "context", "left")
+    suffix = F.col("context").bitwiseAND((1 << BITS * max(0, order - 2)) - 1).alias("suffix")
+    found = checkpointed(found.select("context", "c", "p", F.coalesce("gamma", F.lit(1.0)).alias("gamma"), suffix))
+    lower = found.filter("p is null").select(F.col("suffix").alias("context"), "c").distinct()
+    lower = priced(lower, model[:-1]).select(F.col("context").alias("suffix"), "c", F.col("p").alias("below"))
+    left = found.filter("p is null").join(lower, ["suffix", "c"])
+    return found.filter("p is not null").select("context", "c", "p").unionAll(left.select("context", "c", (F.col("gamma") * F.col("below")).alias("p")))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """(block, rows): the rows of ``df``, with their text as ``t``, in compressed blocks of about BLOCK_BYTES of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def block() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+        size = 0
         for part in chunks(batches, "t", _PART):
+            own = pc.sum(pc.binary_length(part.column("t"))).as_py() or 0
+            if held and size + own > BLOCK_BYTES:
+                yield block()
+                size = 0
+            held.append(part)
+            size += own
+        if held:
+            yield block()
+
+    return checkpointed(df.mapInArrow(run, "rows binary").select(F.monotonically_increasing_id().alias("block"), "rows"))
+
+
+class _Block:
+    """A block's rows, its distinct 4-grams, and for each part of it which of them its characters end."""
+
+    def __init__(self, blob: bytes):
+        self.rows = pa.ipc.open_stream(blob).read_all()
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        grams, starts = [], [0]
+        for part in self.rows.to_batches():
             points, offsets = code_points(part.column("t"))
-            n = np.diff(offsets)
-            bits = shared.value.text_bits(points, offsets) if shared.value else n * np.log2(CHARACTERS)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("i"), part.column("l"), pa.array(n), pa.array(bits)], names=[doc, "lang", "scored_chars", "bits"]
-            )
-
-    rows = df.select(F.col(doc).alias("i"), F.coalesce(F.col(lang), F.lit("und")).alias("l"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, f"`{doc}` {kind}, lang string, scored_chars long, bits double")
+            context, c, place = four_grams(points, offsets)
+            grams.append((context, c))
+            self.parts.append((offsets, place + starts[-1]))
+            starts.append(starts[-1] + len(c))
+        context, c = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (zip(*grams, strict=True) if grams else ((), ())))
+        order = np.lexsort((c, context))
+        fresh = np.concatenate([[True], (np.diff(context[order]) != 0) | (np.diff(c[order]) != 0)])[: len(order)]
+        self.context, self.c = context[order][fresh], c[order][fresh]
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.cumsum(fresh) - 1
+
+    def sums(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and bits of each row, from the bits of the distinct 4-grams."""
+        n, total = [np.empty(0, np.int64)], [np.empty(0)]
+        for offsets, place in self.parts:
+            cost = bits[self.number[place]]
+            own = np.zeros(len(offsets) - 1)
+            full = np.flatnonzero(np.diff(offsets))
+            if len(full):
+                own[full] = np.add.reduceat(cost, offsets[full])
+            n.append(np.diff(offsets))
+            total.append(own)
+        return np.concatenate(n), np.concatenate(total)
+
+
+def with_bits(df: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``df``, with its text as ``t``, with k_chars and k_bits, the length and the code length of the whole text."""
+    blocks = packed(df)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
+                own = _Block(blob.as_buffer())
+                for k in range(0, len(own.c), 200_000):
+                    some = slice(k, k + 200_000)
+                    at = np.arange(k, k + len(own.c[some]), dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), number)), pa.array(at), pa.array(own.context[some]), pa.array(own.c[some])],
+                        names=["block", "at", "context", "c"],
+                    )
+
+    def added(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = []
+        bits = np.full(len(answers), np.nan)
+        bits[answers.column("at").to_numpy()] = -np.log2(answers.column("p").to_numpy())
+        for blob in rows.column("rows"):
+            own = _Block(blob.as_buffer())
+            n, total = own.sums(bits)
+            parts.append(own.rows.append_column("k_chars", pa.array(n)).append_column("k_bits", pa.array(total)))
+        return pa.concat_tables(parts)
+
+    requests = checkpointed(blocks.mapInArrow(asked, "block long, at int, context long, c long"))
+    prices = checkpointed(priced(requests.select("context", "c").distinct(), model))
+    answers = requests.join(prices, ["context", "c"]).select("block", "at", F.col("p").cast("float").alias("p"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(added, f"{fields}, k_chars long, k_bits double")
+
+
+def judged(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` (k_id, k_lang, k_chars, k_bits, ...) with k_threshold, bits per character, and k_accepted."""
+    of_trust = split_by_id(rows.select("k_id", "k_lang", "k_chars", "k_bits"), "k_id", ids)[0].filter("k_chars > 0")
+    rate = F.col("k_bits") / F.col("k_chars")
+    medians = checkpointed(of_trust.groupBy("k_lang").agg(F.percentile_approx(rate, 0.5, 10000).alias("k_median")))
+    overall = of_trust.agg(F.percentile_approx(rate, 0.5, 10000).alias("k_overall"))
+
+    def drawn(df: DataFrame) -> DataFrame:
+        df = df.join(small(medians), "k_lang", "left").crossJoin(F.broadcast(overall))  # one row
+        middle = F.coalesce("k_median", "k_overall")
+        return df.withColumn("k_rate", (F.col("k_bits") + PRIOR_CHARS * middle) / (F.col("k_chars") + PRIOR_CHARS))
+
+    trusted = drawn(of_trust)
+    cut = F.percentile_approx("k_rate", QUANTILE, 10000)
+    cuts = checkpointed(trusted.groupBy("k_lang").agg(cut.alias("k_cut")))
+    out = drawn(rows).join(small(cuts), "k_lang", "left").crossJoin(F.broadcast(trusted.agg(cut.alias("k_all"))))  # one row
+    out = out.withColumn("k_threshold", F.coalesce("k_cut", "k_all") + SLACK)
+    inside = F.coalesce(F.col("k_rate") <= F.col("k_threshold"), F.lit(True))
+    return out.withColumn("k_accepted", (F.col("k_chars") == 0) | inside)
+
+
+def _scored(df: DataFrame, trusted: DataFrame, text: str, doc: str, lang: str, columns: list) -> tuple[DataFrame, DataFrame]:
+    ids = trusted.select(doc).distinct()
+    model = train(split_by_id(df, doc, ids)[0], text)
+    own = df.select(*columns, F.col(doc).alias("k_id"), F.coalesce(F.col(lang), F.lit("und")).alias("k_lang"), F.col(text).alias("t"))
+    return with_bits(own, model), ids
 
 
 def quality(df: DataFrame, trusted: DataFrame, text: str = "text", doc: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """Per row: doc, lang, scored_chars, perplexity (per character), fence, accepted.
+    """Per row: doc, lang (null: und), scored_chars, perplexity (per character), threshold, accepted.
 
     ``trusted`` holds the ids (column ``doc``) of trusted documents; none of them null. A text that is null or empty
-    has perplexity null and is accepted: it has nothing to judge. Repeated rows give repeated results.
+    has perplexity null and is accepted: it has nothing to judge. Without trusted text all are accepted. Repeated rows
+    give repeated results; other columns of ``df`` are ignored; an empty table gives no rows.
     """
-    ids = trusted.select(doc).distinct()
-    model = train(split_by_id(df, doc, ids)[0], text)
-    scored = checkpointed(score(df, model, text, doc, lang))
-    of_trust = scored.join(ids, doc, "left_semi").filter("scored_chars > 0").withColumn("rate", F.col("bits") / F.col("scored_chars"))
-    cuts = [F.percentile_approx("rate", q, 10000).alias(f"q{k}") for k, q in enumerate((QUANTILES[0], 0.5, QUANTILES[1]))]
-    ranges = checkpointed(of_trust.groupBy("lang").agg(*cuts))
-    whole = of_trust.agg(*[c.alias(f"all{k}") for k, c in enumerate(cuts)])
-    out = scored.join(small(ranges), "lang", "left").crossJoin(F.broadcast(whole))  # one row
-    q = [F.coalesce(f"q{k}", f"all{k}") for k in range(3)]
-    rate = (F.col("bits") + PRIOR_CHARS * q[1]) / (F.col("scored_chars") + PRIOR_CHARS)
-    fence = q[2] + FENCE * (q[2] - q[0])
-    out = out.withColumns({"fence": F.pow(F.lit(2.0), fence), "inside": F.coalesce(rate <= fence, F.lit(True))})
+    scored, ids = _scored(df, trusted, text, doc, lang, [])
+    out = judged(checkpointed(scored.drop("t")), ids)
     return out.select(
-        doc,
-        "lang",
-        "scored_chars",
-        F.when(F.col("scored_chars") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("scored_chars"))).alias("perplexity"),
-        "fence",
-        ((F.col("scored_chars") == 0) | F.col("inside")).alias("accepted"),
+        F.col("k_id").alias(doc),
+        F.col("k_lang").alias("lang"),
+        F.col("k_chars").alias("scored_chars"),
+        F.when(F.col("k_chars") > 0, F.pow(F.lit(2.0), F.col("k_bits") / F.col("k_chars"))).alias("perplexity"),
+        F.pow(F.lit(2.0), "k_threshold").alias("threshold"),
+        F.col("k_accepted").alias("accepted"),
     )
 
 
 def accepted_rows(df: DataFrame, trusted: DataFrame, text: str = "text", doc: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """The rows of ``df`` that quality() accepts, all columns; rows without an id stay."""
-    judged = quality(df, trusted, text, doc, lang)
-    return without(df, doc, judged.filter("not accepted").select(doc))
+    """The rows of ``df`` that quality() accepts, all columns; each row by its own text, whatever its id."""
+    names = {c: "t" if c == text else f"k{k}" for k, c in enumerate(df.columns)}
+    scored, ids = _scored(df, trusted, text, doc, lang, [F.col(c).alias(n) for c, n in names.items() if c != text])
+    out = judged(checkpointed(scored), ids).filter("k_accepted")
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -54,7 +54,6 @@ def test_quality_rejects_smooth_junk_of_other_characters(spark):
 def test_kneser_ney_equals_plain_python(spark):
     rng = np.random.default_rng(6)
     texts = ["".join(rng.choice(list("abc dé😀"), int(n))) for n in rng.integers(1, 60, 12)]
-    model = kn_quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
     levels = [{}]
     for t in texts:
         t = "^^^" + t
@@ -78,10 +77,21 @@ def test_kneser_ney_equals_plain_python(spark):
         n = level.get(gram, 0)
         return ((n - cut(n)) if n else 0) / sum(same) + sum(map(cut, same)) / sum(same) * p(gram[1:])
 
-    for t in ["abc d", "é😀zz", texts[0], "日本a", ""]:
-        want = -sum(np.log2(p(("^^^" + t)[k - 3 : k + 1])) for k in range(3, len(t) + 3))
-        points, offsets = np.array([ord(c) for c in t], np.uint32), np.array([0, len(t)])
-        assert model.text_bits(points, offsets)[0] == pytest.approx(want)
+    rows = [(k, t, "x") for k, t in enumerate([*texts, "abc d", "é😀zz", "日本a", "", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(k,) for k in range(len(texts))], "doc_id long")
+    got = {r.doc_id: r for r in kn_quality.quality(df, trusted).collect()}
+    bits = lambda t: -sum(np.log2(p(("^^^" + t)[k - 3 : k + 1])) for k in range(3, len(t) + 3))
+    for k, t, _ in rows:
+        assert got[k].scored_chars == len(t or "") and (got[k].perplexity is None) == (not t)
+        if t:
+            assert got[k].perplexity == pytest.approx(2 ** (bits(t) / len(t)), rel=1e-5)
+    own = np.array([[bits(t), len(t)] for t in texts])
+    middle = sorted(own[:, 0] / own[:, 1])[(len(own) - 1) // 2]
+    drawn = lambda b, n: (b + kn_quality.PRIOR_CHARS * middle) / (n + kn_quality.PRIOR_CHARS)
+    cut = sorted(drawn(own[:, 0], own[:, 1]))[int(np.ceil(kn_quality.QUANTILE * len(own))) - 1] + kn_quality.SLACK
+    for k, t, _ in rows:
+        assert got[k].accepted == (not t or drawn(bits(t), len(t)) <= cut)
 
 
 def test_secret_models_withstand_bare_tokens_in_the_sample():

@@ -146,10 +146,15 @@ def test_quality(spark, docs, empty):
     assert kn_quality.quality(empty, trusted).count() == 0
 
 
-def test_kneser_ney_sums_to_one(docs):
+def test_kneser_ney_sums_to_one(spark, docs):
+    from pyspark.sql import functions as F
+
     model = kn_quality.train(docs.filter("doc_id in (1, 4)"))
-    sums = np.exp2(-model.bits.astype(np.float64)).reshape(-1, kn_quality.SYMBOLS).sum(1)
-    assert np.allclose(sums, 1, atol=0.02)
+    contexts = model[-1][1].select("context").limit(5)
+    letters = model[0][0].select("c")
+    asked = contexts.crossJoin(letters.unionAll(spark.createDataFrame([(kn_quality.CHARACTERS - 1,)], "c long")))
+    sums = kn_quality.priced(asked, model).withColumn("n", F.when(F.col("c") == kn_quality.CHARACTERS - 1, kn_quality.CHARACTERS - letters.count()).otherwise(1))
+    assert all(r.s == pytest.approx(1) for r in sums.groupBy("context").agg(F.sum(F.col("p") * F.col("n")).alias("s")).collect())
 
 
 def test_mixing(docs, empty):
