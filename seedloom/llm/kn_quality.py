@@ -16,6 +16,7 @@ times 2**SLACK, since those are the model's own training texts. Languages withou
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .bitmap import split_by_id
 from .util import checkpointed, chunks, small
@@ -163,48 +165,39 @@ def priced(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFr
     return found.filter("p is not null").select("context", "c", "p").unionAll(left.select("context", "c", (F.col("gamma") * F.col("below")).alias("p")))
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """(block, rows): the rows of ``df``, with their text as ``t``, in compressed blocks of about BLOCK_BYTES of it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def block() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for part in held:
-                    out.write_batch(part)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
-
-        size = 0
-        for part in chunks(batches, "t", _PART):
-            own = pc.sum(pc.binary_length(part.column("t"))).as_py() or 0
-            if held and size + own > BLOCK_BYTES:
-                yield block()
-                size = 0
-            held.append(part)
-            size += own
-        if held:
-            yield block()
-
-    return checkpointed(df.mapInArrow(run, "rows binary").select(F.monotonically_increasing_id().alias("block"), "rows"))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows with texts ``t`` in blocks of about BLOCK_BYTES of it."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in chunks(batches, "t", _PART):
+        own = pc.sum(pc.binary_length(part.column("t"))).as_py() or 0
+        if held and size + own > BLOCK_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(part)
+        size += own
+    if held:
+        yield held
 
 
 class _Block:
     """A block's rows, its distinct 4-grams, and for each part of it which of them its characters end."""
 
-    def __init__(self, blob: bytes):
-        self.rows = pa.ipc.open_stream(blob).read_all()
+    def __init__(self, rows: list[pa.RecordBatch]):
+        self.rows = rows
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        grams, starts = [], [0]
-        for part in self.rows.to_batches():
+        grams, starts, digest = [], [0], hashlib.blake2b(digest_size=8)
+        for part in rows:
             points, offsets = code_points(part.column("t"))
+            digest.update(offsets.tobytes())
+            digest.update(points.tobytes())
             context, c, place = four_grams(points, offsets)
             grams.append((context, c))
             self.parts.append((offsets, place + starts[-1]))
             starts.append(starts[-1] + len(c))
-        context, c = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (zip(*grams, strict=True) if grams else ((), ())))
+        #: Of the texts, so that a block that is built again is known again.
+        self.key = int.from_bytes(digest.digest(), "little", signed=True)
+        context, c = (np.concatenate(x).astype(np.int64) for x in zip(*grams, strict=True))
         order = np.lexsort((c, context))
         fresh = np.concatenate([[True], (np.diff(context[order]) != 0) | (np.diff(c[order]) != 0)])[: len(order)]
         self.context, self.c = context[order][fresh], c[order][fresh]
@@ -213,7 +206,7 @@ class _Block:
 
     def sums(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters and bits of each row, from the bits of the distinct 4-grams."""
-        n, total = [np.empty(0, np.int64)], [np.empty(0)]
+        n, total = [], []
         for offsets, place in self.parts:
             cost = bits[self.number[place]]
             own = np.zeros(len(offsets) - 1)
@@ -225,37 +218,60 @@ class _Block:
         return np.concatenate(n), np.concatenate(total)
 
 
-def with_bits(df: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """``df``, with its text as ``t``, with k_chars and k_bits, the length and the code length of the whole text."""
-    blocks = packed(df)
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _blocks(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in rows:
+                out.write_batch(part)
+        yield pa.RecordBatch.from_arrays([pa.array([_Block(rows).key]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for own in map(_Block, _blocks(batches)):
+        for k in range(0, len(own.c), 200_000):
+            some = slice(k, k + 200_000)
+            at = np.arange(k, k + len(own.c[some]), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), own.key)), pa.array(at), pa.array(own.context[some]), pa.array(own.c[some])], names=["block", "at", "context", "c"])
+
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, blob in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
-                own = _Block(blob.as_buffer())
-                for k in range(0, len(own.c), 200_000):
-                    some = slice(k, k + 200_000)
-                    at = np.arange(k, k + len(own.c[some]), dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), number)), pa.array(at), pa.array(own.context[some]), pa.array(own.c[some])],
-                        names=["block", "at", "context", "c"],
-                    )
+def with_bits(df: DataFrame, model: list[tuple[DataFrame, DataFrame]], keep_texts: bool) -> DataFrame:
+    """``df``, with its text as ``t``, with k_chars and k_bits, the length and the code length of the whole text.
+
+    Without ``keep_texts`` the result has ``t`` null. Blocks are cut twice, to ask and to add up. Should rows be dealt
+    otherwise the second time, after executors were lost, blocks find no answers, and their rows are asked for again.
+    """
 
     def added(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = []
-        bits = np.full(len(answers), np.nan)
-        bits[answers.column("at").to_numpy()] = -np.log2(answers.column("p").to_numpy())
+        out = []
+        if not len(rows):
+            return kinds.empty_table()
+        at = answers.column("at").to_numpy()
+        bits = np.full(at.max(initial=-1) + 1, np.nan)  # two blocks of the same texts ask twice, for the same
+        bits[at] = -np.log2(answers.column("p").to_numpy())
         for blob in rows.column("rows"):
-            own = _Block(blob.as_buffer())
-            n, total = own.sums(bits)
-            parts.append(own.rows.append_column("k_chars", pa.array(n)).append_column("k_bits", pa.array(total)))
-        return pa.concat_tables(parts)
-
-    requests = checkpointed(blocks.mapInArrow(asked, "block long, at int, context long, c long"))
-    prices = checkpointed(priced(requests.select("context", "c").distinct(), model))
-    answers = requests.join(prices, ["context", "c"]).select("block", "at", F.col("p").cast("float").alias("p"))
+            own = _Block(pa.ipc.open_stream(blob.as_buffer()).read_all().to_batches())
+            there = len(bits) >= len(own.c)
+            n, total = own.sums(bits if there else np.full(len(own.c), np.nan))
+            table = pa.Table.from_batches(own.rows)
+            if there and not keep_texts:
+                table = table.set_column(table.column_names.index("t"), "t", pa.nulls(len(table), table.schema.field("t").type))
+            out.append(table.append_column("k_chars", pa.array(n)).append_column("k_bits", pa.array(total if there else [None] * len(n), pa.float64())))
+        return pa.concat_tables(out)
+
+    def scored(rows: DataFrame) -> DataFrame:
+        requests = checkpointed(rows.mapInArrow(_asked, "block long, at int, context long, c long"))
+        prices = checkpointed(priced(requests.select("context", "c").distinct(), model))
+        answers = requests.join(prices, ["context", "c"]).select("block", "at", F.col("p").cast("float").alias("p"))
+        blocks = rows.mapInArrow(_packed, "block long, rows binary")
+        return checkpointed(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(added, f"{fields}, k_chars long, k_bits double"))
+
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(added, f"{fields}, k_chars long, k_bits double")
+    kinds = to_arrow_schema(df.schema).append(pa.field("k_chars", pa.int64())).append(pa.field("k_bits", pa.float64()))
+    done = scored(df)
+    while (lost := done.filter("k_bits is null").select(df.columns)).limit(1).count():
+        done = done.filter("k_bits is not null").unionAll(scored(lost))
+    return done
 
 
 def judged(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -279,11 +295,11 @@ def judged(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return out.withColumn("k_accepted", (F.col("k_chars") == 0) | inside)
 
 
-def _scored(df: DataFrame, trusted: DataFrame, text: str, doc: str, lang: str, columns: list) -> tuple[DataFrame, DataFrame]:
+def _scored(df: DataFrame, trusted: DataFrame, text: str, doc: str, lang: str, columns: list, keep_texts: bool) -> tuple[DataFrame, DataFrame]:
     ids = trusted.select(doc).distinct()
     model = train(split_by_id(df, doc, ids)[0], text)
     own = df.select(*columns, F.col(doc).alias("k_id"), F.coalesce(F.col(lang), F.lit("und")).alias("k_lang"), F.col(text).alias("t"))
-    return with_bits(own, model), ids
+    return with_bits(own, model, keep_texts), ids
 
 
 def quality(df: DataFrame, trusted: DataFrame, text: str = "text", doc: str = "doc_id", lang: str = "lang") -> DataFrame:
@@ -293,8 +309,8 @@ def quality(df: DataFrame, trusted: DataFrame, text: str = "text", doc: str = "d
     has perplexity null and is accepted: it has nothing to judge. Without trusted text all are accepted. Repeated rows
     give repeated results; other columns of ``df`` are ignored; an empty table gives no rows.
     """
-    scored, ids = _scored(df, trusted, text, doc, lang, [])
-    out = judged(checkpointed(scored.drop("t")), ids)
+    scored, ids = _scored(df, trusted, text, doc, lang, [], keep_texts=False)
+    out = judged(scored, ids)
     return out.select(
         F.col("k_id").alias(doc),
         F.col("k_lang").alias("lang"),
@@ -308,6 +324,6 @@ def quality(df: DataFrame, trusted: DataFrame, text: str = "text", doc: str = "d
 def accepted_rows(df: DataFrame, trusted: DataFrame, text: str = "text", doc: str = "doc_id", lang: str = "lang") -> DataFrame:
     """The rows of ``df`` that quality() accepts, all columns; each row by its own text, whatever its id."""
     names = {c: "t" if c == text else f"k{k}" for k, c in enumerate(df.columns)}
-    scored, ids = _scored(df, trusted, text, doc, lang, [F.col(c).alias(n) for c, n in names.items() if c != text])
-    out = judged(checkpointed(scored), ids).filter("k_accepted")
+    scored, ids = _scored(df, trusted, text, doc, lang, [F.col(c).alias(n) for c, n in names.items() if c != text], keep_texts=True)
+    out = judged(scored, ids).filter("k_accepted")
     return out.select(*[F.col(n).alias(c) for c, n in names.items()])
