@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seedloom.llm import bpe_lexicon, exact_dedup, kn_quality, lbl_score, mixing, ngram_join, nn_descent, ppm_langid, secret_scan, token_counts
@@ -116,7 +117,11 @@ def brute_components(rows, words, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def test_ngram_join(spark, docs, empty):
+@pytest.mark.parametrize("frequent, longest", [(1 << 20, 64), (0, 4)])
+def test_ngram_join(spark, docs, empty, monkeypatch, frequent, longest):
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "LIST", longest)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 1 + longest // 8)
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in rng.integers(0, 400, 150)]
     rows = [(100 + k, " ".join(f"x{rng.integers(1 << 30)}" if rng.random() < 0.012 * (k % 5) else w for w in base)) for k in range(90)]
@@ -126,6 +131,10 @@ def test_ngram_join(spark, docs, empty):
         want = brute_components(rows, words, percent)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, words=words, percent=percent).collect()}
         assert got == want
+    if not frequent:
+        return
+    again = df.withColumn("doc_id", F.when(F.col("doc_id") == 101, 0).otherwise(F.col("doc_id")))
+    assert {r.text for r in ngram_join.keep_one(again).filter("doc_id = 0").collect()} >= {dict(rows)[0]}
     assert ngram_join.keep_one(df).count() == len({c for _, c in brute_components(rows, 5, 80).values()})
     assert ngram_join.jaccard_components(docs).count() == len(TEXTS) and ngram_join.jaccard_components(empty).count() == 0
 
@@ -147,8 +156,6 @@ def test_quality(spark, docs, empty):
 
 
 def test_kneser_ney_sums_to_one(spark, docs):
-    from pyspark.sql import functions as F
-
     model = kn_quality.train(docs.filter("doc_id in (1, 4)"))
     contexts = model[-1][1].select("context").limit(5)
     letters = model[0][0].select("c")
