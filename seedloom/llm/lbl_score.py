@@ -9,8 +9,8 @@ times its own share, (c + 1) / (N' + V' + 1), of that ending's tokens.
 The model predicts a symbol from the CONTEXT symbols before it: r = sum_i C_i R[w_i]. Symbols lie in blocks of about
 the square root of their number; P(symbol) = P(block) P(symbol in block), by scores r . S[block] + g[block] and
 r . Q[w] + b[w]. Every task trains a copy on its own texts in numpy, with noise shared by a minibatch so that the work
-is matrix products; Spark averages the rows that the copies changed, weighted by tokens, and the next round starts from
-the average. Scores are normalised exactly, over all blocks and the whole block of the target, once for each distinct
+is matrix products; Spark averages what the copies that changed a row moved it by, weighted by tokens and sent in
+eight bits, and the next round starts there. Scores are normalised exactly, over all blocks and the whole block of the target, once for each distinct
 context of a batch.
 
 Counts of the HEAD most frequent tokens are broadcast (a few MB); only rarer tokens of the texts are shuffled to meet
@@ -31,18 +31,18 @@ from pyspark.sql import functions as F
 from .util import broadcast_value, checkpointed, chunks, fold_case, id_residue, mix, span_hashes, text_bytes, top_by_count, word_spans
 
 #: Words with a symbol of their own: so many times the square root of the tokens.
-GROWTH = 8
+GROWTH = 4
 #: Low bits of a word's key, from its last two bytes.
 TAIL_BITS = 12
 HEAD = 1 << 18
 CONTEXT = 2
-WIDTH = 24
-ROUNDS = 2
+WIDTH = 16
+ROUNDS = 1
 NOISE = 64
 MINIBATCH = 4096
-RATE = 0.05
+RATE = 0.1
 #: Where Adagrad's sums of squares start.
-FIRST_STEP = np.float32(1e-2)
+FIRST_STEP = np.float32(1e-7)
 #: Key of the end of a text among the word hashes.
 END = np.int64(-1)
 #: Symbol of the end of a text; those of endings follow, then the words'.
@@ -187,6 +187,12 @@ class LogBilinear:
         for some in np.split(rows, np.flatnonzero(np.diff(rows // AVERAGED)) + 1):
             yield int(some[0] // AVERAGED), some.astype(np.int32), np.concatenate([self.R[some], self.Q[some], self.b[some, None]], 1)
 
+    def values(self, part: int, rows: np.ndarray) -> np.ndarray:
+        """What changed() gives for some rows, as they are."""
+        if part < 0:
+            return np.concatenate([getattr(self, x).reshape(-1) for x in self.SHARED])[:, None]
+        return np.concatenate([self.R[rows], self.Q[rows], self.b[rows, None]], 1)
+
     def put(self, part: int, rows: np.ndarray, values: np.ndarray) -> None:
         if part >= 0:
             self.R[rows], self.Q[rows], self.b[rows] = values[:, :WIDTH], values[:, WIDTH:-1], values[:, -1]
@@ -271,13 +277,22 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     return Vocabulary(top.column("key").to_numpy(), top.column("n").to_numpy(), total, int(whole.v), endings)
 
 
+def _moves(part: int, raw: bytes, rows: int) -> np.ndarray:
+    """Moves of rows: those of symbols are in eight bits, with a scale of each row before them."""
+    if part < 0:
+        return np.frombuffer(raw, np.float32).reshape(rows, -1)
+    both = np.frombuffer(raw, np.uint8).reshape(rows, -1)
+    return both[:, 4:].view(np.int8) * np.ascontiguousarray(both[:, :4]).view(np.float32)
+
+
 def _mean(table: pa.Table) -> pa.Table:
-    """One row of the mean of a part's rows over the copies that changed them."""
+    """One row of the mean of what the copies that changed a part's rows moved them by."""
+    part = table.column("part")[0].as_py()
     rows = [np.frombuffer(x, np.int32) for x in table.column("rows").to_pylist()]
     ids, back = np.unique(np.concatenate(rows), return_inverse=True)
     total, weight, at = 0.0, np.zeros(len(ids)), 0
     for x, w, own in zip(table.column("x"), table.column("w").to_pylist(), rows, strict=True):
-        values = np.frombuffer(x.as_py(), np.float32).reshape(len(own), -1)
+        values = _moves(part, x.as_py(), len(own))
         if at == 0:
             total = np.zeros((len(ids), values.shape[1]))
         place = back[at : at + len(own)]
@@ -285,7 +300,7 @@ def _mean(table: pa.Table) -> pa.Table:
         weight[place] += w
         at += len(own)
     mean = (total / weight[:, None]).astype(np.float32)
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "rows": [ids.tobytes()], "x": [mean.tobytes()]})
+    return pa.table({"part": pa.array([part], pa.int32()), "rows": [ids.tobytes()], "x": [mean.tobytes()]})
 
 
 def train_model(df: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
@@ -307,8 +322,12 @@ def train_model(df: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> LogBi
                     own.train([b[some] for b in before], symbols[some], rng)
                 seen += len(symbols)
             for number, rows, values in own.changed() if seen else ():
+                moved = np.ascontiguousarray(values - start.values(number, rows))
+                if number >= 0:
+                    scale = np.maximum(np.abs(moved).max(1, keepdims=True), np.float32(1e-12)) / 127
+                    moved = np.concatenate([scale.view(np.uint8), np.rint(moved / scale).astype(np.int8).view(np.uint8)], 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int32()), pa.array([rows.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(values).tobytes()], pa.binary()), pa.array([float(seen)])],
+                    [pa.array([number], pa.int32()), pa.array([rows.tobytes()], pa.binary()), pa.array([moved.tobytes()], pa.binary()), pa.array([float(seen)])],
                     names=["part", "rows", "x", "w"],
                 )
 
@@ -317,7 +336,7 @@ def train_model(df: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> LogBi
         after = model.copy()
         for part, rows, x in zip(*(mean.column(c).to_pylist() for c in ("part", "rows", "x")), strict=True):
             rows = np.frombuffer(rows, np.int32)
-            after.put(part, rows, np.frombuffer(x, np.float32).reshape(len(rows), -1))
+            after.put(part, rows, model.values(part, rows) + np.frombuffer(x, np.float32).reshape(len(rows), -1))
         model = after
     return model
 

@@ -191,6 +191,15 @@ def test_lm_scores(docs, empty):
     assert lbl_score.lm_scores(empty).count() == 0
 
 
+def test_lm_predicts_unseen_texts_better_than_counts(spark):
+    """Held-out perplexity below that of the add-one counts: texts of two languages that share no words."""
+    rng = np.random.default_rng(12)
+    rows = [(k, " ".join(f"{'ab'[k % 2]}{x}" for x in rng.zipf(1.5, 300) % 500)) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = lbl_score.lm_scores(df).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert 10 ** (-got[0] / got[2]) < 0.8 * 10 ** (-got[1] / got[2])
+
+
 def test_log_bilinear_is_normalised():
     model = lbl_score.LogBilinear(np.full(30, 1 / 30))
     before = [np.full(30, 4), np.full(30, 7)]
