@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .bitmap import split_by_id
-from .util import checkpointed, chunks, small
+from .util import checkpointed, chunks, small, text_bytes
 
 #: Bits of a code point; START, before a text, is none.
 BITS = 21
@@ -180,23 +180,29 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]
         yield held
 
 
+def _key(rows: list[pa.RecordBatch]) -> int:
+    """A digest of a block's texts, so that a block that is built again is known again."""
+    digest = hashlib.blake2b(digest_size=8)
+    for part in rows:
+        data, offsets = text_bytes(part.column("t"))
+        digest.update(offsets.tobytes())
+        digest.update(data)
+    return int.from_bytes(digest.digest(), "little", signed=True)
+
+
 class _Block:
     """A block's rows, its distinct 4-grams, and for each part of it which of them its characters end."""
 
     def __init__(self, rows: list[pa.RecordBatch]):
         self.rows = rows
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        grams, starts, digest = [], [0], hashlib.blake2b(digest_size=8)
+        grams, starts = [], [0]
         for part in rows:
             points, offsets = code_points(part.column("t"))
-            digest.update(offsets.tobytes())
-            digest.update(points.tobytes())
             context, c, place = four_grams(points, offsets)
             grams.append((context, c))
-            self.parts.append((offsets, place + starts[-1]))
+            self.parts.append((offsets, (place + starts[-1]).astype(np.int32)))
             starts.append(starts[-1] + len(c))
-        #: Of the texts, so that a block that is built again is known again.
-        self.key = int.from_bytes(digest.digest(), "little", signed=True)
         context, c = (np.concatenate(x).astype(np.int64) for x in zip(*grams, strict=True))
         order = np.lexsort((c, context))
         fresh = np.concatenate([[True], (np.diff(context[order]) != 0) | (np.diff(c[order]) != 0)])[: len(order)]
@@ -224,15 +230,16 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             for part in rows:
                 out.write_batch(part)
-        yield pa.RecordBatch.from_arrays([pa.array([_Block(rows).key]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array([_key(rows)]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for own in map(_Block, _blocks(batches)):
+    for rows in _blocks(batches):
+        own, key = _Block(rows), _key(rows)
         for k in range(0, len(own.c), 200_000):
             some = slice(k, k + 200_000)
             at = np.arange(k, k + len(own.c[some]), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), own.key)), pa.array(at), pa.array(own.context[some]), pa.array(own.c[some])], names=["block", "at", "context", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array(at), pa.array(own.context[some]), pa.array(own.c[some])], names=["block", "at", "context", "c"])
 
 
 def with_bits(df: DataFrame, model: list[tuple[DataFrame, DataFrame]], keep_texts: bool) -> DataFrame:

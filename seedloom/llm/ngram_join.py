@@ -122,7 +122,7 @@ def frequent_shingles(df: DataFrame, words: int) -> DataFrame:
 
         for part in chunks(batches, "t"):
             held.append(shingle_sets(part.column("t"), words)[0] >> np.uint64(24))
-            if sum(map(len, held)) > 1_500_000:
+            if sum(map(len, held)) > 700_000:
                 yield flush()
         if sum(map(len, held)):
             yield flush()
@@ -220,7 +220,7 @@ def rare_pairs(nodes: DataFrame, bits: int, percent: int, most: int = LIST) -> D
             pos = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
             key = first.values.to_numpy()[np.repeat(begin, size) + pos].view(np.uint64)
             held.append((key, np.repeat(batch.column("r").to_numpy(), size), np.repeat(batch.column("n").to_numpy(), size), pos))
-            if sum(len(x[0]) for x in held) > 1_000_000:
+            if sum(len(x[0]) for x in held) > 400_000:
                 yield flush()
         if sum(len(x[0]) for x in held):
             yield flush()

@@ -50,6 +50,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
