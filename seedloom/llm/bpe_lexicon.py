@@ -28,6 +28,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .token_counts import byte_symbols
 from .util import checkpointed, chunks, span_hashes, text_bytes, top_by_count
@@ -37,8 +38,6 @@ LEXICON_WORDS = 200_000
 WORD_BYTES = 48
 #: Words whose merges a worker remembers.
 REMEMBERED = 100_000
-#: The word pattern of this kind of file (a fixed value of the format).
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE, LETTER, DIGIT, OTHER = range(4)
 
 
@@ -59,6 +58,7 @@ class Merger:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab: dict[str, int] = spec["model"]["vocab"]
+        self.library = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.size = max(*vocab.values(), *self.special.values(), 0) + 1
@@ -244,10 +244,10 @@ def _latin(text: bytes) -> bytes | None:
         return None
 
 
-def exact_words(text: str) -> list[bytes]:
-    """The words of a text of any characters, as UTF-8, in order."""
-    text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-    return [w.encode() for w in WORDS.findall(text)]
+def exact_words(text: str, merger: Merger) -> list[bytes]:
+    """The words of a text of any characters, as UTF-8, in order: by the library's own tables of characters."""
+    text = merger.library.normalizer.normalize_str(text)
+    return [text[a:b].encode() for _, (a, b) in merger.library.pre_tokenizer.pre_tokenize_str(text)]
 
 
 def latin_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,9 +305,9 @@ def segments(text: str, merger: Merger) -> Iterator[tuple[list[bytes], int | Non
     """The words between special strings, and the id of the special string after them."""
     at = 0
     for m in merger.marks.finditer(text) if merger.marks else ():
-        yield exact_words(text[at : m.start()]), merger.special[m[0]]
+        yield exact_words(text[at : m.start()], merger), merger.special[m[0]]
         at = m.end()
-    yield exact_words(text[at:]), None
+    yield exact_words(text[at:], merger), None
 
 
 @lru_cache(maxsize=4)

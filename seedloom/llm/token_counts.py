@@ -1,9 +1,9 @@
 """Token counts of whole texts by a byte-level BPE tokenizer, in Arrow functions that return lengths only.
 
-Rows are encoded in batches of about BATCH_BYTES bytes. A text over SPLIT_BYTES is encoded in pieces, cut only where
-the tokenizer's own pattern always starts a new pre-token: before a space that follows a character other than white
-space and precedes a letter. A text without such places stays whole. Merges never cross pre-tokens, so the pieces'
-counts add up to the text's count.
+Rows are encoded in batches of about BATCH_BYTES bytes, one call a batch. A text over SPLIT_BYTES is encoded in pieces,
+cut only where the tokenizer's own pattern always starts a new pre-token: before a space between two other characters,
+and where ASCII letters, digits and other signs (but for the apostrophe) meet. Merges never cross pre-tokens, so the
+pieces' counts add up to the text's count; a single pre-token has no such place, and stays whole however long.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .util import chunks
 
 BATCH_BYTES = 1 << 20
 SPLIT_BYTES = 1 << 16
-SAFE = regex.compile(r"(?<=\S) (?=\p{L})")
+SAFE = regex.compile(r"(?<=[!-~]) (?=[!-~])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[!-&(-/:-@[-`{-~])|(?<=[!-&(-/:-@[-`{-~])(?=[A-Za-z0-9])")
 #: The pre-token pattern of byte-level BPE files with "use_regex" (a fixed value of that format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -35,7 +35,7 @@ def byte_symbols() -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def counter(path: str):
-    """A function from texts to token counts, for a .json file of plain byte-level BPE.
+    """A function from a list of texts to their token counts, for a .json file of plain byte-level BPE.
 
     The merges are taken as ranks, which holds when the vocabulary numbers them in order; another layout is an error.
     """
@@ -55,20 +55,26 @@ def counter(path: str):
     coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     marks = regex.compile("|".join(map(regex.escape, special))) if special else None
 
-    def count(text: str) -> int:
-        if len(text) <= SPLIT_BYTES:
-            return len(coder.encode(text, allowed_special="all"))
-        return sum(len(coder.encode(part, allowed_special="all")) for part in pieces(text, marks))
+    def count(texts: list[str]) -> np.ndarray:
+        parts = [list(pieces(t, marks)) for t in texts]
+        n = np.array([len(x) for x in coder.encode_batch([p for some in parts for p in some], num_threads=1, allowed_special="all")], np.int64)
+        first = np.cumsum([0, *map(len, parts)])[:-1]
+        return np.add.reduceat(n, first) if len(n) else n
 
     return count
 
 
+def size_of(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def pieces(text: str, marks=None, limit: int = SPLIT_BYTES) -> Iterator[str]:
-    """The text in pieces of about ``limit`` characters, cut at safe places only, and never inside a special string."""
+    """The text in pieces of ``limit`` bytes at least, cut at safe places only, and never inside a special string."""
     start = 0
-    while len(text) - start > limit:
+    step = max(1, limit * len(text) // max(1, size_of(text)))  # characters of that many bytes, about
+    while len(text) - start > step:
         cut = next(
-            (m.start() for m in SAFE.finditer(text, start + limit) if not marks or not _inside(marks, text, m.start())),
+            (m.start() for m in SAFE.finditer(text, start + step) if not marks or not _inside(marks, text, m.start())),
             None,
         )
         if cut is None:
@@ -94,8 +100,8 @@ def token_counts(df: DataFrame, path: str, text: str = "text", doc: str = "doc_i
         for part in chunks(batches, "t", BATCH_BYTES):
             count = count or counter(path)
             texts = [t or "" for t in part.column("t").to_pylist()]
-            n = np.fromiter(map(count, texts), np.int64, len(texts))
-            size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
+            n = count(texts)
+            size = np.fromiter(map(size_of, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays(
                 [part.column("i"), pa.array(size), pa.array(n), pa.array(n > limit)],
                 names=[doc, "n_bytes", "n_tokens", "over_limit"],

@@ -53,6 +53,35 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
+def test_token_counts_of_pieces_equal_those_of_the_whole():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rng = np.random.default_rng(7)
+    letters = list("aZbé9 0'\n\t.,-_=+日ß!  ")
+    texts = ["".join(rng.choice(letters, 300)) for _ in range(200)] + [" it's 'll 5's a'9'b ''s " * 9, ""]
+    marks = token_counts.regex.compile(r"<\|endoftext\|>")
+    coder = token_counts.counter(path)
+    for t in texts:
+        some = list(token_counts.pieces(t, marks, 8))
+        assert "".join(some) == t and (len(some) > 3 or not t)
+        assert coder(some or [""]).sum() == len(tok.encode(t, add_special_tokens=False).ids)
+
+
+def test_words_of_all_code_points():
+    """Every code point beside a letter, a digit and alone gives the library's ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, merger = Tokenizer.from_file(path), bpe_lexicon.merger_of(path)
+    points = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b 1{c}2 {c}" for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    lexicon = bpe_lexicon.Transducer.build([], [])
+    import pyarrow as pa
+
+    for k in range(0, len(texts), 256):
+        ids, offsets = bpe_lexicon.encode_chunk(pa.array(texts[k : k + 256]), merger, lexicon)
+        want = [e.ids for e in tok.encode_batch(texts[k : k + 256], add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+
+
 def test_bpe_round_trip(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
