@@ -72,3 +72,24 @@ def relation_flags(v: str, u: str, threshold: int) -> Column:
         RIGHT_OVERLAP: _meets(u, v, threshold),
     }
     return F.expr(" + ".join(f"if({rule}, {bit}, 0)" for bit, rule in rules.items()))
+
+
+def flag_bit(units: Column, errors: Column) -> Column:
+    """Place of a bit of the flag word: (units - 1) * units / 2 + errors, so the bits of each number of units lie together."""
+    return ((units - 1) * units / 2).cast("int") + errors
+
+
+def flag_word(units: str, repeated: str, first_fail: str) -> Column:
+    """Aggregate of a position's rows, one for each number of units: whether it repeats, and its first failing errors.
+
+    A repeat sets the first bit of its units; errors below the number of units set the bit that far from it.
+    """
+    n, e = F.col(units), F.col(first_fail)
+    bit = lambda at: F.expr("1").cast("int") * F.pow(F.lit(2), at).cast("int")
+    return F.bit_or(F.when(F.col(repeated), bit(flag_bit(n, F.lit(0))).bitwiseOR(F.when(e < n, bit(flag_bit(n, e))).otherwise(0))).otherwise(0))
+
+
+def flag_errors(word: str, units: Column) -> Column:
+    """First failing errors that a flag word holds for so many units: the lowest bit set beyond the first, else units."""
+    bits = F.transform(F.sequence(F.lit(1), F.greatest(units - 1, F.lit(1))), lambda e: F.when((e < units) & (F.getbit(F.col(word), flag_bit(units, e)) == 1), e))
+    return F.coalesce(F.array_min(bits), units)

@@ -92,3 +92,22 @@ def nearest_nontrivial(queries: DataFrame, database: DataFrame, limit: int) -> D
     scored = near.withColumn("score", prefix_distance("seed", "t")).filter(f"score < {limit}").filter(~pure_shift("seed", "t", "score"))
     best = scored.groupBy("seed").agg(F.min("score").alias("closest"))
     return q.select("seed").distinct().join(best, "seed", "left").withColumn("closest", F.coalesce("closest", F.lit(limit)))
+
+
+def exclude_origins(candidates: DataFrame, origins: DataFrame, band: int) -> DataFrame:
+    """The candidates (seq_no, pos, ...) that lie further than ``band`` from every origin (seq_no, pos).
+
+    Both are joined by equality on ranges of band + 1 places: an origin also stands in the ranges beside its own.
+    """
+    wide = band + 1
+    near = origins.select(F.col("seq_no").alias("o_seq"), F.col("pos").alias("o_pos"), F.explode(F.expr(f"transform(array(-1, 0, 1), i -> floor(pos / {wide}) + i)")).alias("o_bin"))
+    at = (F.col("seq_no") == F.col("o_seq")) & (F.floor(F.col("pos") / wide) == F.col("o_bin")) & (F.abs(F.col("pos") - F.col("o_pos")) <= band)
+    return candidates.join(near.distinct(), at, "left_anti")
+
+
+def signpost_loop(seeds: DataFrame, first: str, count: int) -> DataFrame:
+    """(place, signpost, mode): ``count`` signposts one after another, each with the most frequent distance to it."""
+    chosen = choose_signposts(seeds, first, count)
+    modal = modes(with_distances(seeds, chosen), len(chosen))
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("place"), F.lit(s).alias("signpost"), F.col(f"m{k}").cast("long").alias("mode")) for k, s in enumerate(chosen)])
+    return modal.select(F.inline(rows))

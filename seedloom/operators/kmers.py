@@ -6,11 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bases of the pieces that contigs are cut into before their substrings are taken, at least.
+PIECE = 256
+
+
+def _pieces(contigs: DataFrame, k: int) -> DataFrame:
+    """(seq_no, begin, own, piece): contigs in pieces of ``own`` bases, each with the k - 1 that follow it.
+
+    A contig is walked through once, so the work grows with its length and no row holds it beside its substrings.
+    """
+    wide = max(PIECE, 8 * k)
+    parts = contigs.select("seq_no", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{wide}}}"), F.lit(0)).alias("p"))
+    each = F.expr(f"explode(transform(p, (x, i) -> struct(i * {wide} as begin, length(x) as own, concat(x, left(coalesce(get(p, i + 1), ''), {k - 1})) as piece)))")
+    return parts.select("seq_no", each.alias("x")).select("seq_no", "x.*")
+
+
 def substrings(contigs: DataFrame, k: int) -> DataFrame:
-    """(seq_no, pos, kmer) of every substring of length ``k``; none crosses contigs."""
-    long_enough = contigs.filter(F.length("seq") >= k)
-    at = F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos")
-    return long_enough.select("seq_no", "seq", at).select("seq_no", "pos", F.expr(f"substring(seq, pos + 1, {k})").alias("kmer"))
+    """(seq_no, pos, kmer) of every substring of length ``k``; none crosses contigs. Null and short contigs have none."""
+    pieces = _pieces(contigs, k).filter(f"length(piece) >= {k}")
+    each = F.posexplode(F.expr(f"transform(sequence(0, least(own, length(piece) - {k - 1}) - 1), i -> substring(piece, i + 1, {k}))"))
+    return pieces.select("seq_no", "begin", each.alias("at", "kmer")).select("seq_no", (F.col("begin") + F.col("at")).alias("pos"), "kmer")
+
+
+def locations(contigs: DataFrame, k: int, at_least: int) -> DataFrame:
+    """(kmer, seq_no, pos) of every place of the k-mers that occur ``at_least`` times."""
+    frequent = kmer_counts(contigs, k).filter(F.col("n") >= at_least).select("kmer")
+    return substrings(contigs, k).join(frequent, "kmer", "left_semi").select("kmer", "seq_no", "pos")
 
 
 def kmer_counts(contigs: DataFrame, k: int) -> DataFrame:
@@ -29,8 +50,8 @@ def trie(contigs: DataFrame, depth: int) -> DataFrame:
 
     The deepest level and the shorter ends of contigs are counted once; each level sums the one below it.
     """
-    tails = F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("pos")
-    deepest = contigs.filter("length(seq) > 0").select("seq", tails).select(F.expr(f"substring(seq, pos + 1, {depth})").alias("label"))
+    labels = F.explode(F.expr(f"transform(sequence(0, own - 1), i -> substring(piece, i + 1, {depth}))"))
+    deepest = _pieces(contigs, depth).select(labels.alias("label"))
     counted = deepest.groupBy("label").agg(F.count("*").alias("n"))
     cuts = counted.select("n", F.explode(F.expr("transform(sequence(1, length(label)), d -> substring(label, 1, d))")).alias("label"))
     return cuts.groupBy("label").agg(F.sum("n").alias("freq")).select(F.length("label").alias("depth"), "label", "freq")
@@ -82,10 +103,16 @@ def units(reads: DataFrame, k: int) -> DataFrame:
 def counted(seeds: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
     """``seeds`` (kmer) with n, how often each occurs in the contigs; 0 if it doesn't."""
     asked = seeds.select("kmer").distinct()
-    found = substrings(contigs, k).join(asked, "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("n"))
+    found = kmer_counts(contigs, k).join(asked, "kmer", "left_semi")  # counted where they lie, then dealt
     return seeds.join(found, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def whole_windows(at: DataFrame, contigs: DataFrame, length: int) -> DataFrame:
+    """``at`` (seq_no, pos) with ``window``, the ``length`` bases from there on; places where they run out are left out."""
+    fits = at.join(contigs, "seq_no").filter(F.col("pos") + length <= F.length("seq"))
+    return fits.withColumn("window", F.expr(f"substring(seq, cast(pos as int) + 1, {length})")).drop("seq")
+
+
 def windows(at: DataFrame, contigs: DataFrame, before: Column, length: int) -> DataFrame:
     """``at`` (seq_no, pos) with ``window``: ``length`` bases from ``before`` places earlier, cut at the contig's ends."""
     begin = F.greatest(F.col("pos") - before, F.lit(0))

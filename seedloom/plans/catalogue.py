@@ -111,10 +111,47 @@ QUERIES = {
     "optimal_seeds": lambda s, d: P.optimal_seeds(cell_table(s, d), 2, SHORTEST),
     "read_optimal_seeds": lambda s, d: P.optimal_seeds(P.read_cells(reads(s, d), contigs(s, d), SHORTEST, UNIT), 3, SHORTEST),
     "read_optimal_seeds_full": lambda s, d: P.chosen_seeds(P.growing_cells(reads(s, d), contigs(s, d), SHORTEST, 2 * SHORTEST), 3),
+    "reads_without_n": lambda s, d: P.without_n(reads_with_n(s, d)).select("read_no", F.md5("seq").alias("digest")),
+    "kmer_locations": lambda s, d: K.locations(contigs(s, d), UNIT, FREQUENT).orderBy("seq_no", "pos").select("kmer", "seq_no", long("pos")),
+    "whole_windows": lambda s, d: K.whole_windows(K.kmer_summary(contigs(s, d), UNIT, FREQUENT).select("kmer", "seq_no", "pos"), contigs(s, d), 80).select("kmer", "seq_no", "window"),
+    "exclude_origins": lambda s, d: D.exclude_origins(
+        K.locations(contigs(s, d), UNIT, FREQUENT), K.kmer_summary(contigs(s, d), UNIT, FREQUENT).select("seq_no", "pos"), CLOSE
+    ).select("kmer", "seq_no", long("pos")),
+    "rare_seeds": lambda s, d: P.rare_seeds(seed_table(s, d), 7).select("read_no", long("beg"), long("freq")),
+    "seeds_by_frequency": lambda s, d: seed_order(s, d, "freq"),
+    "seeds_by_length": lambda s, d: seed_order(s, d, "len"),
+    "read_seed_number_histogram": lambda s, d: P.select_seeds(seed_table(s, d), 4).groupBy(long("n_seeds")).agg(F.count("*").alias("reads")),
+    "read_totals": lambda s, d: P.totals(
+        reads(s, d), P.select_seeds(seed_table(s, d), 4), P.naive_frequency(reads(s, d), K.kmer_counts(contigs(s, d), 10), 10, 4)
+    ),
+    "flag_words": lambda s, d: flag_rows(s, d).groupBy("l_orderkey").agg(S.flag_word("units", "repeated", "fail").cast("long").alias("word")),
+    "flag_errors": lambda s, d: flag_rows(s, d).groupBy("l_orderkey").agg(S.flag_word("units", "repeated", "fail").alias("word")).select(
+        "l_orderkey", S.flag_errors("word", F.lit(4)).cast("long").alias("errors")
+    ),
+    "signpost_loop": lambda s, d: D.signpost_loop(seeds(s, d), SIGNPOST, 2),
+    "neighbor_lines": lambda s, d: G.neighbour_lines(trie_neighbor_flags(s, d)),
     "read_seed_histogram": lambda s, d: P.select_seeds(seed_table(s, d), 4).groupBy(long("total_freq")).agg(F.count("*").alias("reads")),
 }
 
 
+def reads_with_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(read_no, seq): whole contigs as reads, every third with an unknown base at its end."""
+    bases = G.contigs_of_documents(spark, sf_dir).filter("length(seq) >= 60")
+    return bases.select(F.col("seq_no").alias("read_no"), F.expr("if(seq_no % 3 = 0, concat(seq, 'N'), seq)").alias("seq"))
+
+
+def seed_order(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
+    rows = seed_table(spark, sf_dir).withColumn("len", F.expr("freq % 4 + ets"))
+    sorted_rows = P.in_order(rows, by)
+    return sorted_rows.select("read_no", F.array_join(F.transform("seeds", lambda x: F.concat_ws(":", x["beg"].cast("string"), x["len"].cast("string"), x["freq"].cast("string"))), " ").alias("seeds"))
+
+
+def flag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, units, repeated, fail): made-up results of each position for one to four units."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.select("l_orderkey", F.expr("cast(l_linenumber % 4 + 1 as int)").alias("units"), F.expr("l_partkey % 2 = 0").alias("repeated"), F.expr("cast(1 + l_suppkey % 4 as int)").alias("fail"))
+
+
 def trie_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(v, u, dist): nodes of depths 1 to 3 and all nodes below distance 2, from a trie of depth 4."""
     nodes = K.trie(contigs(spark, sf_dir), 4).select("depth", "label")
@@ -146,7 +183,7 @@ def _prefix(a: str, b: str) -> str:
 
 def _trie(depth: int) -> str:
     levels = " UNION ALL ".join(f"SELECT {k} AS depth, kmer AS label, count(*) AS freq FROM g{k} GROUP BY ALL" for k in range(1, depth + 1))
-    return ", ".join(_grams(k, f"g{k}") for k in range(1, depth + 1)) + f", trie AS ({levels})"
+    return ", ".join(_grams(k, f"g{k}") for k in range(1, depth + 1)) + f", trie AS MATERIALIZED ({levels})"
 
 
 VECTORS = f"vectors AS (SELECT seed, least({_prefix('seed', f"'{SIGNPOST}'")}, 63)::BIGINT AS d0, least({_prefix('seed', f"'{SECOND}'")}, 63)::BIGINT AS d1 FROM seeds)"
@@ -192,7 +229,39 @@ EVERY_CELL = " UNION ALL ".join(
     for k in range(SHORTEST, LONGEST + 1)
 )
 
+FLAG_ROWS = """rows AS (SELECT l_orderkey, (l_linenumber % 4 + 1)::INT AS units, l_partkey % 2 = 0 AS repeated, (1 + l_suppkey % 4)::INT AS fail FROM lineitem),
+    words AS (SELECT l_orderkey, bit_or(CASE WHEN repeated THEN (1 << (units * (units - 1) // 2)) | (CASE WHEN fail < units THEN 1 << (units * (units - 1) // 2 + fail) ELSE 0 END) ELSE 0 END)::BIGINT AS word FROM rows GROUP BY ALL)"""
+PLACES = f"places AS (SELECT kmer, seq_no, pos FROM grams WHERE kmer IN (SELECT kmer FROM firsts))"
+
+
+def _ordered(by: str) -> str:
+    return f"""WITH {TABLE} SELECT read_no, string_agg(beg || ':' || (freq % 4 + ets) || ':' || freq, ' ' ORDER BY {by}, beg, freq % 4 + ets, freq) AS seeds FROM seedt GROUP BY read_no"""
+
+
 ORACLE_SQL = {
+    "reads_without_n": f"WITH {CONTIGS} SELECT seq_no AS read_no, md5(seq) AS digest FROM contigs WHERE length(seq) >= 60 AND seq_no % 3 != 0",
+    "kmer_locations": f"WITH {CONTIGS}, {_grams(UNIT)}, {FIRST}, {PLACES} SELECT * FROM places",
+    "whole_windows": f"WITH {CONTIGS}, {_grams(UNIT)}, {FIRST} SELECT kmer, seq_no, substring(seq, pos + 1, 80) AS window FROM firsts JOIN contigs USING (seq_no) WHERE pos + 80 <= length(seq)",
+    "exclude_origins": f"WITH {CONTIGS}, {_grams(UNIT)}, {FIRST}, {PLACES} SELECT kmer, seq_no, pos FROM places p WHERE NOT EXISTS (SELECT 1 FROM firsts f WHERE f.seq_no = p.seq_no AND abs(f.pos - p.pos) <= {CLOSE})",
+    "rare_seeds": f"WITH {TABLE} SELECT read_no, beg::BIGINT AS beg, freq::BIGINT AS freq FROM seedt WHERE freq <= 7",
+    "seeds_by_frequency": _ordered("freq"),
+    "seeds_by_length": _ordered("freq % 4 + ets"),
+    "read_seed_number_histogram": f"WITH {TABLE}, {SOLVED} SELECT n_seeds, count(*) AS reads FROM solved GROUP BY n_seeds",
+    "read_totals": f"""WITH {CONTIGS}, {READS}, {TABLE}, {SOLVED}, {_grams(10)}, counts AS (SELECT kmer, count(*) AS n FROM grams GROUP BY kmer),
+        strands AS (SELECT read_no, seq FROM reads UNION ALL SELECT read_no, reverse(translate(seq, 'ACGTN', 'TGCAN')) FROM reads),
+        cut AS (SELECT read_no, substring(seq, (i * 10)::INT + 1, 10) AS kmer FROM strands, range(0, 4) r(i)),
+        naive AS (SELECT read_no, coalesce(sum(n), 0)::BIGINT AS freq FROM cut LEFT JOIN counts USING (kmer) GROUP BY read_no)
+        SELECT count(*) AS reads, coalesce(sum(n_seeds), 0)::BIGINT AS seeds, coalesce(sum(greatest(total_freq, 0)), 0)::BIGINT AS freq, coalesce(sum(freq), 0)::BIGINT AS naive_freq
+        FROM reads LEFT JOIN solved USING (read_no) LEFT JOIN naive USING (read_no)""",
+    "flag_words": f"WITH {FLAG_ROWS} SELECT * FROM words",
+    "flag_errors": f"WITH {FLAG_ROWS} SELECT l_orderkey, (CASE WHEN word & 128 > 0 THEN 1 WHEN word & 256 > 0 THEN 2 WHEN word & 512 > 0 THEN 3 ELSE 4 END)::BIGINT AS errors FROM words",
+    "signpost_loop": f"""WITH {CONTIGS}, {SEEDS}, one AS (SELECT seed, least({_prefix('seed', f"'{SIGNPOST}'")}, 63)::BIGINT AS d0 FROM seeds),
+        m0 AS (SELECT d0 AS m FROM one GROUP BY d0 ORDER BY count(*) DESC, d0 LIMIT 1),
+        second AS (SELECT seed AS s FROM one, m0 ORDER BY abs(d0 - m), d0, seed LIMIT 1),
+        two AS (SELECT least({_prefix('seed', 's')}, 63)::BIGINT AS d1 FROM seeds, second),
+        m1 AS (SELECT d1 AS m FROM two GROUP BY d1 ORDER BY count(*) DESC, d1 LIMIT 1)
+        SELECT 0::BIGINT AS place, '{SIGNPOST}' AS signpost, m AS mode FROM m0 UNION ALL SELECT 1, s, m FROM second, m1""",
+    "neighbor_lines": f"WITH {CONTIGS}, {_trie(4)}, {FLAGS} SELECT v || ' ' || count(*) || ': ' || array_to_string(list_sort(list(u || '-' || dist || '|' || flag)), ' ') AS value FROM flags GROUP BY v",
     "normalize_contigs": f"SELECT doc_id, md5({NORMAL}) AS digest, length(text) AS length FROM documents",
     "global_offsets": f"WITH {CONTIGS} SELECT seq_no, length(seq) AS length, coalesce(sum(length(seq) + 1) OVER (ORDER BY seq_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS global_off FROM contigs",
     "reverse_complement": f"WITH {CONTIGS} SELECT seq_no, md5(reverse(translate(seq, 'ACGTN', 'TGCAN'))) AS digest FROM contigs",

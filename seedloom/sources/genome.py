@@ -54,3 +54,42 @@ def global_offsets(contigs: DataFrame, width: int = 1024) -> DataFrame:
     starts = sums.select("range", F.coalesce(F.sum("s").over(before(Window.orderBy("range"))), F.lit(0)).alias("start"))
     inside = F.coalesce(F.sum(F.col("length") + 1).over(before(Window.partitionBy("range").orderBy("seq_no"))), F.lit(0))
     return rows.join(starts, "range").select("seq_no", "length", (F.col("start") + inside).alias("global_off"))
+
+
+def read_signposts(spark: SparkSession, path: str) -> DataFrame:
+    """(signpost, mode int) from lines "signpost mode"."""
+    parts = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).filter(F.trim("value") != "").select(parts[0].alias("signpost"), F.get(parts, F.lit(1)).cast("int").alias("mode"))
+
+
+def write_nearest(nearest: DataFrame, path: str) -> None:
+    """Lines "seed distance"."""
+    nearest.select(F.concat_ws(" ", "seed", F.col("closest").cast("string")).alias("value")).write.text(path)
+
+
+def neighbour_lines(edges: DataFrame) -> DataFrame:
+    """(value): for each node v a line "v n: u-dist|flag ..." with its n neighbours in order."""
+    one = F.concat("u", F.lit("-"), F.col("dist").cast("string"), F.lit("|"), F.col("flag").cast("string"))
+    rows = edges.groupBy("v").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("x"))
+    return rows.select(F.concat("v", F.lit(" "), F.col("n").cast("string"), F.lit(": "), F.array_join("x", " ")).alias("value"))
+
+
+def write_by_depth(rows: DataFrame, path: str, depth: str = "depth") -> None:
+    """Trie nodes, neighbour edges or profiles as Parquet with a folder for each depth."""
+    rows.repartition(depth, F.pmod(F.xxhash64(*[c for c in rows.columns if c != depth]), F.lit(16))).write.partitionBy(depth).parquet(path)
+
+
+def read_by_depth(spark: SparkSession, path: str, least: int, most: int, depth: str = "depth") -> DataFrame:
+    """The rows of some depths; the folders of others are not opened."""
+    return spark.read.parquet(path).filter(F.col(depth).between(least, most))
+
+
+def write_index(kmers: DataFrame, path: str, letters: int = 2) -> None:
+    """Places of k-mers (kmer, seq_no, pos) as Parquet by their first letters, sorted, so a look-up opens one folder."""
+    head = kmers.withColumn("head", F.substring("kmer", 1, letters))
+    head.repartition("head", F.substring("kmer", 1, letters + 3)).sortWithinPartitions("kmer", "seq_no", "pos").write.partitionBy("head").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, kmer: str, letters: int = 2) -> DataFrame:
+    """(kmer, seq_no, pos) of one k-mer."""
+    return spark.read.parquet(path).filter((F.col("head") == kmer[:letters]) & (F.col("kmer") == kmer)).drop("head")

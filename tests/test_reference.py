@@ -113,3 +113,39 @@ def test_padding(spark):
 
     df = spark.createDataFrame([("ACGT",)], "seq string")
     assert tuple(df.select(S.padded_slice("seq", F.lit(2), 4), S.padded_slice("seq", F.lit(4), 4)).first()) == ("GTNN", "")
+
+
+def test_long_and_odd_contigs(spark):
+    rng = __import__("random").Random(4)
+    seq = "".join(rng.choice("ACGT") for _ in range(200_000))
+    df = spark.createDataFrame([(0, seq), (1, ""), (2, None), (3, "ACG"), (4, seq[:256]), (5, seq[:257])], "seq_no long, seq string")
+    assert K.substrings(df, 12).count() == len(seq) - 11 + 245 + 246
+    some = {r.pos: r.kmer for r in K.substrings(df, 12).filter("seq_no = 0 and pos % 997 = 0").collect()}
+    assert some == {p: seq[p : p + 12] for p in range(0, len(seq) - 11, 997)}
+    want = {}
+    for s in ("ACG", seq[:256], seq[:257], seq):
+        for k in range(len(s)):
+            for n in range(1, min(3, len(s) - k) + 1):
+                want[s[k : k + n]] = want.get(s[k : k + n], 0) + 1
+    assert {r.label: r.freq for r in K.trie(df, 3).collect()} == want
+
+
+def test_flag_word(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, 3, True, 2), (2, 3, False, 2), (3, 3, True, 3), (4, 2, True, 1), (4, 3, True, 1)], "p int, units int, repeated boolean, fail int")
+    words = df.groupBy("p").agg(S.flag_word("units", "repeated", "fail").alias("w"))
+    assert dict(map(tuple, words.collect())) == {1: 40, 2: 0, 3: 8, 4: 2 + 4 + 8 + 16}
+    assert dict(map(tuple, words.select("p", S.flag_errors("w", F.lit(3))).collect())) == {1: 2, 2: 3, 3: 3, 4: 1}
+
+
+def test_tables_by_depth_and_index(spark, tmp_path):
+    contigs = spark.createDataFrame([(0, "ACTACTGATAGA")], "seq_no long, seq string")
+    G.write_by_depth(K.trie(contigs, 3), str(tmp_path / "t"))
+    got = G.read_by_depth(spark, str(tmp_path / "t"), 2, 2)
+    assert got.count() == 7 and "PartitionFilters: [isnotnull(depth" in got._jdf.queryExecution().toString()
+    G.write_index(K.substrings(contigs, 3), str(tmp_path / "i"))
+    assert sorted(r.pos for r in G.read_index(spark, str(tmp_path / "i"), "ACT").collect()) == [0, 3]
+    nearest = spark.createDataFrame([("AC", 3)], "seed string, closest int")
+    G.write_nearest(nearest, str(tmp_path / "n"))
+    assert [tuple(r) for r in G.read_signposts(spark, str(tmp_path / "n")).collect()] == [("AC", 3)]
