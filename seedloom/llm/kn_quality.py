@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .bitmap import split_by_id
-from .util import checkpointed, chunks, small, text_bytes
+from .util import checkpointed, chunks, release_memory, small, text_bytes
 
 #: Bits of a code point; START, before a text, is none.
 BITS = 21
@@ -264,6 +264,8 @@ def with_bits(df: DataFrame, model: list[tuple[DataFrame, DataFrame]], keep_text
             if there and not keep_texts:
                 table = table.set_column(table.column_names.index("t"), "t", pa.nulls(len(table), table.schema.field("t").type))
             out.append(table.append_column("k_chars", pa.array(n)).append_column("k_bits", pa.array(total if there else [None] * len(n), pa.float64())))
+        del rows, own, bits
+        release_memory()
         return pa.concat_tables(out)
 
     def scored(rows: DataFrame) -> DataFrame:

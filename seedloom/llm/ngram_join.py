@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .bitmap import BitmapFilter, without
 from .components import components
-from .util import broadcast_value, checkpointed, chunks, fold_case, mix, small, span_hashes, text_bytes, top_by_count, word_spans
+from .util import broadcast_value, checkpointed, chunks, fold_case, mix, release_memory, small, span_hashes, text_bytes, top_by_count, word_spans
 
 #: Shingles that the order knows as frequent: 16 MB in a broadcast.
 FREQUENT = 1 << 20
@@ -224,6 +224,7 @@ def rare_pairs(nodes: DataFrame, bits: int, percent: int, most: int = LIST) -> D
                 yield flush()
         if sum(len(x[0]) for x in held):
             yield flush()
+        release_memory()
 
     def met(table: pa.Table) -> pa.Table:
         parts = []
@@ -247,6 +248,8 @@ def rare_pairs(nodes: DataFrame, bits: int, percent: int, most: int = LIST) -> D
             two.append(i + step)
         i, j = np.concatenate(one), np.concatenate(two)
         other = lambda x: pa.array(x[j], mask=j < 0)
+        del parts, order, size, first, one, two
+        release_memory()
         return pa.table({"key": key[i].view(np.int64), "a": r[i], "na": n[i], "pa": pos[i], "b": other(r), "nb": other(n), "pb": other(pos)})
 
     lists = nodes.select("r", "n", "rare", "first").mapInArrow(dealt, "bucket long, base long, k long, blob binary")
