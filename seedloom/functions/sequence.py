@@ -34,6 +34,17 @@ def fitting_distance(seed: str, window: str) -> Column:
     return F.expr(f"array_min(transform(sequence(0, length({window})), i -> array_min({ends})))")
 
 
+def banded_fitting_distance(seed: str, window: str, errors: int) -> Column:
+    """As fitting_distance() where that is at most ``errors``, else ``errors`` + 1.
+
+    Only infixes can come so near that have the seed's length, give or take ``errors``.
+    """
+    size = f"greatest(length({seed}) + d, 0)"
+    begins = f"filter(sequence(0, length({window})), i -> i + {size} <= length({window}))"
+    near = f"transform(sequence(-{errors}, {errors}), d -> transform({begins}, i -> levenshtein({seed}, substring({window}, i + 1, {size}), {errors})))"
+    return F.expr(f"coalesce(array_min(filter(flatten({near}), x -> x >= 0)), {errors + 1})")
+
+
 def chebyshev(a: str, b: str) -> Column:
     return F.expr(f"array_max(zip_with({a}, {b}, (x, y) -> abs(x - y)))")
 

@@ -94,14 +94,17 @@ def nearest_nontrivial(queries: DataFrame, database: DataFrame, limit: int) -> D
     return q.select("seed").distinct().join(best, "seed", "left").withColumn("closest", F.coalesce("closest", F.lit(limit)))
 
 
-def exclude_origins(candidates: DataFrame, origins: DataFrame, band: int) -> DataFrame:
-    """The candidates (seq_no, pos, ...) that lie further than ``band`` from every origin (seq_no, pos).
+def exclude_origins(candidates: DataFrame, origins: DataFrame, band: int, by: tuple[str, ...] = ("seq_no",)) -> DataFrame:
+    """The candidates (by..., pos, ...) that lie further than ``band`` from every origin (by..., pos).
 
     Both are joined by equality on ranges of band + 1 places: an origin also stands in the ranges beside its own.
     """
     wide = band + 1
-    near = origins.select(F.col("seq_no").alias("o_seq"), F.col("pos").alias("o_pos"), F.explode(F.expr(f"transform(array(-1, 0, 1), i -> floor(pos / {wide}) + i)")).alias("o_bin"))
-    at = (F.col("seq_no") == F.col("o_seq")) & (F.floor(F.col("pos") / wide) == F.col("o_bin")) & (F.abs(F.col("pos") - F.col("o_pos")) <= band)
+    keys = [F.col(c).alias(f"o_{c}") for c in by]
+    near = origins.select(*keys, F.col("pos").alias("o_pos"), F.explode(F.expr(f"transform(array(-1, 0, 1), i -> floor(pos / {wide}) + i)")).alias("o_bin"))
+    at = (F.floor(F.col("pos") / wide) == F.col("o_bin")) & (F.abs(F.col("pos") - F.col("o_pos")) <= band)
+    for c in by:
+        at = at & (F.col(c) == F.col(f"o_{c}"))
     return candidates.join(near.distinct(), at, "left_anti")
 
 

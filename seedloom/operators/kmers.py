@@ -107,13 +107,23 @@ def counted(seeds: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
     return seeds.join(found, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def pieces_at(at: DataFrame, contigs: DataFrame, length: int) -> DataFrame:
+    """``at`` (seq_no, pos) with ``window``: the ``length`` bases from there on, fewer at the contig's end.
+
+    Joined with pieces of the contigs by number and range of places, so no row carries a whole contig.
+    """
+    wide = max(PIECE, 8 * length)
+    placed = at.withColumn("begin", (F.floor(F.col("pos") / wide) * wide).cast("int"))
+    met = placed.join(_pieces(contigs, length).select("seq_no", "begin", "piece"), ["seq_no", "begin"])
+    return met.withColumn("window", F.expr(f"substring(piece, cast(pos - begin as int) + 1, {length})")).select(*at.columns, "window")
+
+
 def whole_windows(at: DataFrame, contigs: DataFrame, length: int) -> DataFrame:
     """``at`` (seq_no, pos) with ``window``, the ``length`` bases from there on; places where they run out are left out."""
-    fits = at.join(contigs, "seq_no").filter(F.col("pos") + length <= F.length("seq"))
-    return fits.withColumn("window", F.expr(f"substring(seq, cast(pos as int) + 1, {length})")).drop("seq")
+    return pieces_at(at, contigs, length).filter(F.length("window") == length)
 
 
 def windows(at: DataFrame, contigs: DataFrame, before: Column, length: int) -> DataFrame:
     """``at`` (seq_no, pos) with ``window``: ``length`` bases from ``before`` places earlier, cut at the contig's ends."""
-    begin = F.greatest(F.col("pos") - before, F.lit(0))
-    return at.join(contigs, "seq_no").withColumn("window", F.substring(F.col("seq"), begin + 1, F.lit(length))).drop("seq")
+    moved = at.withColumn("at", F.col("pos")).withColumn("pos", F.greatest(F.col("pos") - before, F.lit(0)))
+    return pieces_at(moved, contigs, length).withColumn("pos", F.col("at")).drop("at")

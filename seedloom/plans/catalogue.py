@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import distances as D
 from ..operators import kmers as K
+from ..operators import repeats as R
 from ..operators import seeds as P
 from ..sources import genome as G
 
 UNIT, DEPTH, FREQUENT, CLOSE = 12, 5, 5, 3
+#: Units of a pattern.
+UNITS = 2
 #: Tolerance without a near neighbour, and bases of an optimal seed, at least.
 FARTHEST, SHORTEST = 3, 10
 #: Bases that stand for hexadecimal digits in made-up seeds.
@@ -128,6 +131,13 @@ QUERIES = {
     "flag_errors": lambda s, d: flag_rows(s, d).groupBy("l_orderkey").agg(S.flag_word("units", "repeated", "fail").alias("word")).select(
         "l_orderkey", S.flag_errors("word", F.lit(4)).cast("long").alias("errors")
     ),
+    "candidate_support": lambda s, d: R.candidate_support(
+        R.unit_places(R.repeated_patterns(contigs(s, d), UNITS * UNIT), contigs(s, d), UNITS, UNIT), UNITS - 1
+    ).groupBy("seq_no", long("support")).agg(F.count("*").alias("candidates")),
+    "first_fail_errors": lambda s, d: R.first_fail_errors(
+        R.repeated_patterns(contigs(s, d), UNITS * UNIT), contigs(s, d), UNITS, UNIT
+    ).select("pattern", long("errors")),
+    "position_flags": lambda s, d: R.position_flags(contigs(s, d), UNITS, UNIT).select("seq_no", "pos", long("word")),
     "signpost_loop": lambda s, d: D.signpost_loop(seeds(s, d), SIGNPOST, 2),
     "neighbor_lines": lambda s, d: G.neighbour_lines(trie_neighbor_flags(s, d)),
     "read_seed_histogram": lambda s, d: P.select_seeds(seed_table(s, d), 4).groupBy(long("total_freq")).agg(F.count("*").alias("reads")),
@@ -233,12 +243,31 @@ FLAG_ROWS = """rows AS (SELECT l_orderkey, (l_linenumber % 4 + 1)::INT AS units,
     words AS (SELECT l_orderkey, bit_or(CASE WHEN repeated THEN (1 << (units * (units - 1) // 2)) | (CASE WHEN fail < units THEN 1 << (units * (units - 1) // 2 + fail) ELSE 0 END) ELSE 0 END)::BIGINT AS word FROM rows GROUP BY ALL)"""
 PLACES = f"places AS (SELECT kmer, seq_no, pos FROM grams WHERE kmer IN (SELECT kmer FROM firsts))"
 
+_LONG, _SLIP = UNITS * UNIT, UNITS - 1
+SUPPORT = f"""{_grams(UNIT)}, {_grams(_LONG, "long_grams")}, rep AS (SELECT kmer AS pattern FROM long_grams GROUP BY kmer HAVING count(*) > 1),
+    hits AS MATERIALIZED (SELECT DISTINCT pattern, seq_no, greatest(pos - unit * {UNIT}, 0) AS pos, unit
+        FROM (SELECT pattern, unit, substring(pattern, unit::INT * {UNIT} + 1, {UNIT}) AS kmer FROM rep, range(0, {UNITS}) r(unit)) JOIN grams USING (kmer)),
+    runs AS (SELECT pattern, seq_no, list_reduce(list_transform(list_sort(list(DISTINCT pos)), lambda x: [x]), lambda a, x: CASE WHEN x[1] <= a[-1] + {_SLIP} THEN a ELSE a || x END) AS p FROM hits GROUP BY ALL),
+    anchors AS (SELECT pattern, seq_no, unnest(p) AS pos FROM runs),
+    candidates AS MATERIALIZED (SELECT a.pattern, a.seq_no, a.pos, count(DISTINCT h.unit) AS support FROM anchors a
+        JOIN hits h ON h.pattern = a.pattern AND h.seq_no = a.seq_no AND h.pos BETWEEN a.pos AND a.pos + {_SLIP} GROUP BY ALL)"""
+FAILS = f"""{SUPPORT}, away AS (SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM long_grams o WHERE o.kmer = c.pattern AND o.seq_no = c.seq_no AND abs(o.pos - c.pos) <= {_SLIP})),
+    tried AS (SELECT DISTINCT pattern, substring(seq, greatest(pos - {_SLIP}, 0) + 1, {_LONG + 2 * _SLIP}) AS w FROM away JOIN contigs USING (seq_no)),
+    scored AS (SELECT pattern, min(levenshtein(pattern, substring(w, i::INT + 1, n::INT))) AS dist FROM tried, range(0, {3 * _SLIP + 1}) a(i), range({_LONG - _SLIP}, {_LONG + _SLIP + 1}) b(n)
+        WHERE i + n <= length(w) GROUP BY pattern),
+    fails AS MATERIALIZED (SELECT pattern, least(coalesce(dist, {UNITS}), {UNITS})::BIGINT AS errors FROM rep LEFT JOIN scored USING (pattern))"""
+
 
 def _ordered(by: str) -> str:
     return f"""WITH {TABLE} SELECT read_no, string_agg(beg || ':' || (freq % 4 + ets) || ':' || freq, ' ' ORDER BY {by}, beg, freq % 4 + ets, freq) AS seeds FROM seedt GROUP BY read_no"""
 
 
 ORACLE_SQL = {
+    "candidate_support": f"WITH {CONTIGS}, {SUPPORT} SELECT seq_no, support, count(*) AS candidates FROM candidates GROUP BY ALL",
+    "first_fail_errors": f"WITH {CONTIGS}, {FAILS} SELECT * FROM fails",
+    "position_flags": f"""WITH {CONTIGS}, {FAILS}, counts AS (SELECT kmer, count(*) AS n FROM grams GROUP BY kmer)
+        SELECT seq_no, pos, ((pos > length(seq) - {UNIT} OR coalesce(n, 0) > 1)::INT + CASE WHEN errors IS NULL THEN 0 WHEN errors = 1 THEN 6 ELSE 2 END)::BIGINT AS word
+        FROM (SELECT seq_no, seq, unnest(range(0, length(seq))) AS pos FROM contigs) LEFT JOIN counts ON kmer = substring(seq, pos + 1, {UNIT}) LEFT JOIN fails ON pattern = substring(seq, pos + 1, {_LONG})""",
     "reads_without_n": f"WITH {CONTIGS} SELECT seq_no AS read_no, md5(seq) AS digest FROM contigs WHERE length(seq) >= 60 AND seq_no % 3 != 0",
     "kmer_locations": f"WITH {CONTIGS}, {_grams(UNIT)}, {FIRST}, {PLACES} SELECT * FROM places",
     "whole_windows": f"WITH {CONTIGS}, {_grams(UNIT)}, {FIRST} SELECT kmer, seq_no, substring(seq, pos + 1, 80) AS window FROM firsts JOIN contigs USING (seq_no) WHERE pos + 80 <= length(seq)",
