@@ -51,7 +51,7 @@ STAGES = [
     ("BPE encoding and decoding", bpe_encoding),
 ]
 
-#: The first stage's model is not expressible in SQL; tests hold the stages against brute force.
+#: The first stage's model is not expressible in SQL. Stages are tested as operators; the whole is not held against brute force yet.
 ORACLE_SQL = None
 
 
