@@ -19,6 +19,7 @@ import os
 import tempfile
 import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .token_counts import byte_symbols
-from .util import checkpointed, chunks, span_hashes, text_bytes, top_by_count
+from .util import checkpointed, chunks, release_memory, span_hashes, text_bytes, top_by_count
 
 #: Words in the transducer: with the longest word of WORD_BYTES, this bounds its file to a few tens of MB.
 LEXICON_WORDS = 200_000
@@ -153,42 +154,44 @@ class Transducer:
 
     @staticmethod
     def build(words: list[bytes], outputs: list[np.ndarray]) -> Transducer:
-        known: dict[tuple, int] = {}
-        states: list[tuple] = []
-        path: list[list] = [[False, []]]  # of the last word: final, closed edges (byte, state)
+        at = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in outputs])])
+        return Transducer.compiled(words, at, np.concatenate([np.empty(0, np.int64), *outputs]))
+
+    @staticmethod
+    def compiled(words: list[bytes], at: np.ndarray, ids: np.ndarray) -> Transducer:
+        """The automaton of the words; the ids of the k-th are those from at[k] to at[k + 1]."""
+        known: dict[bytes, int] = {}  # states in the order of their numbers, as 64-bit numbers: final, and 256 * state + byte of each edge
+        path: list[list[int]] = [[0]]  # of the last word: final, closed edges
         last = b""
 
         def close(down_to: int) -> None:
             while len(path) > down_to + 1:
-                final, edges = path.pop()
-                key = (final, tuple(edges))
-                if key not in known:
-                    known[key] = len(states)
-                    states.append(key)
-                path[-1][1].append((last[len(path) - 1], known[key]))
+                state = known.setdefault(array("q", path.pop()).tobytes(), len(known))
+                path[-1].append(256 * state + last[len(path) - 1])
 
         for word in words:
             same = len(os.path.commonprefix([last, word]))
             close(same)
-            path.extend([False, []] for _ in range(len(word) - same))
-            path[-1][0] = True
+            path.extend([0] for _ in range(len(word) - same))
+            path[-1][0] = 1
             last = word
         close(0)
-        states.append((path[0][0], tuple(path[0][1])))
-        paths = np.zeros(len(states), np.int64)  # words below each state
-        key, to, add = [], [], []
-        for s, (final, edges) in enumerate(states):  # a state's targets come before it
-            total = int(final)
-            for byte, t in edges:
-                key.append(s * 256 + byte)
-                to.append(t)
-                add.append(total)
-                total += paths[t]
-            paths[s] = total
-        final = np.array([s[0] for s in states], np.uint8)
-        at = np.concatenate([[0], np.cumsum([len(o) for o in outputs])]) if outputs else np.zeros(1)
-        flat = np.concatenate(outputs) if outputs else np.empty(0)
-        return Transducer(np.array(key, np.int64), np.array(to, np.int64), np.array(add, np.int64), final, at.astype(np.int64), flat.astype(np.int64))
+        size = np.array([*map(len, known), 8 * len(path[0])], np.int64) // 8
+        flat = np.frombuffer(b"".join(known) + array("q", path[0]).tobytes(), np.int64)
+        del known, path
+        begin = np.cumsum(size) - size
+        final = flat[begin].astype(np.uint8)
+        edges = np.delete(flat, begin)
+        to, ends = edges >> 8, np.cumsum(size - 1)
+        add = np.zeros(len(edges), np.int64)
+        paths = np.zeros(len(size), np.int64)  # words below each state; a state's targets come before it
+        for s, (first, stop) in enumerate(zip((ends - size + 1).tolist(), ends.tolist(), strict=True)):
+            below = np.cumsum(paths[to[first:stop]])
+            add[first:stop] = final[s]
+            add[first + 1 : stop] += below[:-1]
+            paths[s] = final[s] + (below[-1] if len(below) else 0)
+        key = np.repeat(np.arange(len(size)) * 256, size - 1) + (edges & 255)
+        return Transducer(key, to, add, final, at.astype(np.int64), ids.astype(np.int64))
 
     FIELDS = ("edge_key", "edge_to", "edge_add", "at", "ids", "final")
 
@@ -351,14 +354,19 @@ def build_lexicon(df: DataFrame, path: str, text: str = "text", size: int = LEXI
     """Compiles the ``size`` most frequent words of ``df`` and ships the file to the nodes; its name for SparkFiles."""
     spark: SparkSession = df.sparkSession
     counts = checkpointed(word_counts(df, path, text).filter((F.length("word") <= WORD_BYTES) & (F.col("n") > 1)))
-    words = sorted(bytes(r.word) for r in top_by_count(counts, "n", ["word"], size).select("word").collect())
+    words = sorted(top_by_count(counts, "n", ["word"], size).select("word").toArrow().column("word").to_pylist())
     merger = Merger(path)
-    outputs: list[np.ndarray] = []
-    for k in range(0, len(words), 50_000):
-        outputs += merger.merge(words[k : k + 50_000])
+    sizes, ids = [np.zeros(1, np.int64)], [np.empty(0, np.uint32)]
+    for k in range(0, len(words), 20_000):
+        some = merger.merge(words[k : k + 20_000])
+        sizes.append(np.array([len(x) for x in some], np.int64))
+        ids.append(np.concatenate(some))
+    del merger
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     place = os.path.join(tempfile.mkdtemp(prefix="seedloom-"), name)  # the driver's own copy, which Spark serves
-    Transducer.build(words, outputs).save(place)
+    Transducer.compiled(words, np.cumsum(np.concatenate(sizes)), np.concatenate(ids)).save(place)
+    del words, sizes, ids
+    release_memory()
     spark.sparkContext.addFile(place)
     return name
 
