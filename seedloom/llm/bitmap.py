@@ -31,22 +31,23 @@ class BitmapFilter:
         return hit.drop("__bucket", "__bitmap")
 
 
-#: Buckets of 32,768 ids in an exact set that is broadcast, at most: 64 MB.
-EXACT_BUCKETS = 1 << 14
+#: Buckets of 32,768 ids in an exact set that is broadcast, at most: 64 MB. FEW of them always will do: 4 MB.
+EXACT_BUCKETS, FEW = 1 << 14, 1 << 10
 
 
 def split_by_id(df: DataFrame, doc: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of ``df`` whose id is among ``ids`` (one column), and the others, those without an id included.
 
-    Whole-number ids in up to EXACT_BUCKETS ranges are an exact bitmap, and no row is shuffled. Others, or more, pass
-    a filter first, and only rows whose id may be among them are shuffled.
+    Whole-number ids in up to EXACT_BUCKETS ranges are an exact bitmap, and no row is shuffled. Others, more, or ids so
+    far apart that their bitmap is over four times a filter's, pass a filter first, and only rows whose id may be among
+    them are shuffled.
     """
     (name,) = ids.columns
     ids = checkpointed(ids.select(F.col(name).alias("__id")).filter("__id is not null").distinct())
     if ids.schema["__id"].dataType.typeName() in ("byte", "short", "integer", "long"):
         bucket, place = F.bitmap_bucket_number(F.col("__id")), F.bitmap_bit_position(F.col("__id"))
         sets = checkpointed(ids.groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(place).alias("__bitmap")))
-        if sets.count() <= EXACT_BUCKETS:
+        if sets.count() <= max(FEW, min(EXACT_BUCKETS, 4 << (filter_bits(ids.count()) - 15))):
             met = df.join(F.broadcast(sets), F.bitmap_bucket_number(F.col(doc).cast("long")) == F.col("__bucket"), "left")
             inside = F.coalesce(_bit(F.col("__bitmap"), F.col(doc).cast("long")), F.lit(False))
             return met.filter(inside).select(df.columns), met.filter(~inside).select(df.columns)
