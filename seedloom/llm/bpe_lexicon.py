@@ -37,8 +37,8 @@ from .util import checkpointed, chunks, release_memory, span_hashes, text_bytes,
 #: Words in the transducer: with the longest word of WORD_BYTES, this bounds its file to a few tens of MB.
 LEXICON_WORDS = 200_000
 WORD_BYTES = 48
-#: Words whose merges a worker remembers.
-REMEMBERED = 100_000
+#: Words whose merges a worker remembers, and words that it counts before it sends them on.
+REMEMBERED, COUNTED = 40_000, 100_000
 SPACE, LETTER, DIGIT, OTHER = range(4)
 
 
@@ -78,6 +78,8 @@ class Merger:
         self.name_at = np.concatenate([[0], np.cumsum([len(x) for x in names])]).astype(np.int64)
         self.names = np.frombuffer(b"".join(names), np.uint8)
         self.memo: dict[bytes, np.ndarray] = {}
+        del spec, vocab, pairs, names
+        release_memory()
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and place of each pair's merge; rank -1 where there is none, as for pairs across words (right < 0)."""
@@ -342,7 +344,7 @@ def word_counts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                 for some, _ in segments(t, merger):
                     for w in some:
                         held[w] = held.get(w, 0) + 1
-            if len(held) > 300_000:
+            if len(held) > COUNTED:
                 yield flush()
         yield flush()
 
