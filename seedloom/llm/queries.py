@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_lexicon, exact_dedup, kn_quality, lbl_score, mixing, ngram_join, nn_descent, ppm_langid, secret_scan, token_counts
+from . import bpe_lexicon, exact_dedup, filter_audit, kn_quality, lbl_score, mixing, ngram_join, nn_descent, ppm_langid, secret_scan, token_counts
 from .util import read
 
 
@@ -69,6 +69,10 @@ def op10_lbl_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl_score.lm_scores(read(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +86,7 @@ QUERIES = {
         op8_bpe_lexicon,
         op9_nn_descent,
         op10_lbl_score,
+        op12_filter_audit,
     )
 }
 
@@ -121,7 +126,32 @@ def _mix_sql() -> str:
     """
 
 
+_AUDIT_SQL = """
+    WITH marked AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    sets AS (SELECT part, (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+            + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+            + 16 * coalesce(least < doc_id, false)::INT AS mask,
+        count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM docs LEFT JOIN marked USING (doc_id) GROUP BY ALL),
+    one AS (SELECT chr(65 + i::INT) AS f FROM range(0, 5) r(i)),
+    orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM one a, one b, one c, one d, one e
+        WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+    steps AS (SELECT filter_order, (k + 1)::INT AS step, 1 << (ascii(filter_order[k + 1]) - 65) AS bit,
+        coalesce(list_sum(list_transform(range(1, k + 1), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INT AS applied FROM orders, range(0, 5) r(k)),
+    paths AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (applied | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN mask & bit != 0 AND mask & applied = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN mask & bit != 0 AND mask & applied != 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN mask & bit != 0 AND mask & applied = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN mask & bit != 0 AND mask & applied = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+        FROM sets, steps GROUP BY part, filter_order, step, bit)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+        (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM paths
+"""
+
 ORACLE_SQL = {
+    "op12_filter_audit": _AUDIT_SQL,
     "op1_source_mix": _mix_sql(),
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
