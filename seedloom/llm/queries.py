@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_lexicon, exact_dedup, filter_audit, kn_quality, lbl_score, mixing, ngram_join, nn_descent, ppm_langid, secret_scan, token_counts
+from . import bpe_lexicon, chat_windows, exact_dedup, filter_audit, kn_quality, lbl_score, mixing, ngram_join, nn_descent, ppm_langid, secret_scan, token_align, token_counts
 from .util import read
 
 
@@ -69,10 +69,22 @@ def op10_lbl_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl_score.lm_scores(read(spark, sf_dir, "documents"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(p) for p in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_align.token_alignment(read(spark, sf_dir, "documents"), *paths)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds, said = "conv_id long, turn long, role string, text string", "</s>[INST] ok [/INST]"
+    known = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], kinds)
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(known)
+    return chat_windows.read_back(chat_windows.chat_windows(rows, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,7 +98,9 @@ QUERIES = {
         op8_bpe_lexicon,
         op9_nn_descent,
         op10_lbl_score,
+        op11_token_align,
         op12_filter_audit,
+        op13_chat_windows,
     )
 }
 
