@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 PIECE = 256
 
 
-def _pieces(contigs: DataFrame, k: int) -> DataFrame:
+def pieces_of(contigs: DataFrame, k: int) -> DataFrame:
     """(seq_no, begin, own, piece): contigs in pieces of ``own`` bases, each with the k - 1 that follow it.
 
     A contig is walked through once, so the work grows with its length and no row holds it beside its substrings.
@@ -23,7 +23,7 @@ def _pieces(contigs: DataFrame, k: int) -> DataFrame:
 
 def substrings(contigs: DataFrame, k: int) -> DataFrame:
     """(seq_no, pos, kmer) of every substring of length ``k``; none crosses contigs. Null and short contigs have none."""
-    pieces = _pieces(contigs, k).filter(f"length(piece) >= {k}")
+    pieces = pieces_of(contigs, k).filter(f"length(piece) >= {k}")
     each = F.posexplode(F.expr(f"transform(sequence(0, least(own, length(piece) - {k - 1}) - 1), i -> substring(piece, i + 1, {k}))"))
     return pieces.select("seq_no", "begin", each.alias("at", "kmer")).select("seq_no", (F.col("begin") + F.col("at")).alias("pos"), "kmer")
 
@@ -51,7 +51,7 @@ def trie(contigs: DataFrame, depth: int) -> DataFrame:
     The deepest level and the shorter ends of contigs are counted once; each level sums the one below it.
     """
     labels = F.explode(F.expr(f"transform(sequence(0, own - 1), i -> substring(piece, i + 1, {depth}))"))
-    deepest = _pieces(contigs, depth).select(labels.alias("label"))
+    deepest = pieces_of(contigs, depth).select(labels.alias("label"))
     counted = deepest.groupBy("label").agg(F.count("*").alias("n"))
     cuts = counted.select("n", F.explode(F.expr("transform(sequence(1, length(label)), d -> substring(label, 1, d))")).alias("label"))
     return cuts.groupBy("label").agg(F.sum("n").alias("freq")).select(F.length("label").alias("depth"), "label", "freq")
@@ -114,7 +114,7 @@ def pieces_at(at: DataFrame, contigs: DataFrame, length: int) -> DataFrame:
     """
     wide = max(PIECE, 8 * length)
     placed = at.withColumn("begin", (F.floor(F.col("pos") / wide) * wide).cast("int"))
-    met = placed.join(_pieces(contigs, length).select("seq_no", "begin", "piece"), ["seq_no", "begin"])
+    met = placed.join(pieces_of(contigs, length).select("seq_no", "begin", "piece"), ["seq_no", "begin"])
     return met.withColumn("window", F.expr(f"substring(piece, cast(pos - begin as int) + 1, {length})")).select(*at.columns, "window")
 
 
