@@ -18,11 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
 from .token_counts import PATTERN, byte_symbols
-from .util import chunks, release_memory, written
+from .util import chunks, release_memory
 
 #: Bytes of text in a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
+#: A block is a row of some megabytes: the writer looks at its memory after every one, not after a hundred.
+WRITER = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(1 << 25)}
 
 
 class Bytes:
@@ -81,22 +84,12 @@ def pieces(path: str):
     return (lambda text: model.encode(text, num_threads=1)), Bytes(raw)
 
 
-def decimals(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ASCII decimals of ``values``, each followed by its byte of ``ends``, end to end; and where each one ends."""
-    digits = np.ones(len(values), np.int64)
-    for power in (10, 100, 1000, 10_000, 100_000, 1_000_000):
-        digits += values >= power
-    stop = np.cumsum(digits + 1)
-    data = np.empty(stop[-1] if len(stop) else 0, np.uint8)
-    if not len(stop):
-        return data, stop
-    data[stop - 1] = ends
-    rest = values.copy()
-    for k in range(int(digits.max())):
-        here = digits > k
-        data[stop[here] - 2 - k] = 48 + rest[here] % 10
-        rest //= 10
-    return data, stop
+@lru_cache(maxsize=4)
+def _decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digits of 0 to ``most``, left in rows of bytes with room for one more, and how many each has."""
+    width = len(str(most)) + 1
+    table = np.array([list(f"{i:<{width}}".encode()) for i in range(most + 1)], np.uint8)
+    return table, (table != 32).sum(1).astype(np.uint8)
 
 
 def cut(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,18 +97,31 @@ def cut(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.nda
 
     Ends are byte offsets in the texts laid end to end. A token without bytes belongs to the group of those before it.
     """
-    common = np.intersect1d(a_ends, b_ends)
-    group = [np.searchsorted(common, e, side="left") for e in (a_ends, b_ends)]
-    many = [np.bincount(g, minlength=len(common)) for g in group]
-    before = [np.cumsum(m) - m for m in many]
-    at = np.arange(len(a_ids)) + before[1][group[0]], np.arange(len(b_ids)) + (before[0] + many[0])[group[1]]
-    ids, sign = np.empty(len(a_ids) + len(b_ids), np.int64), np.full(len(a_ids) + len(b_ids), ord(","), np.uint8)
-    ids[at[0]], ids[at[1]] = a_ids, b_ids
+    if not len(a_ids):
+        return np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+    both = np.zeros(int(a_ends[-1]) + 1, np.uint8)
+    both[a_ends] = 1
+    both[b_ends] |= 2
+    both = both == 3
+    common = np.flatnonzero(both)
+    upto = np.cumsum(both, dtype=np.int32)
+    group = [upto[e] - both[e] for e in (a_ends, b_ends)]
+    del both, upto
+    many = [np.bincount(g, minlength=len(common)).astype(np.int32) for g in group]
+    before = [np.cumsum(m, dtype=np.int32) - m for m in many]
+    ids, sign = np.empty(len(a_ids) + len(b_ids), np.int32), np.full(len(a_ids) + len(b_ids), ord(","), np.uint8)
+    ids[np.arange(len(a_ids), dtype=np.int32) + before[1][group[0]]] = a_ids
+    ids[np.arange(len(b_ids), dtype=np.int32) + (before[0] + many[0])[group[1]]] = b_ids
+    del group
     last = np.cumsum(many[0] + many[1]) - 1
     sign[last] = ord(";")
     sign[last - many[1]] = ord("|")
-    data, stop = decimals(ids, sign)
-    return data, stop[last], common
+    table, digits = _decimals(int(max(a_ids.max(), b_ids.max())))
+    size = digits[ids]
+    cells = table[ids]
+    cells[np.arange(len(ids)), size] = sign
+    data = cells[np.arange(cells.shape[1], dtype=np.uint8) <= size[:, None]]
+    return data, np.cumsum(size.astype(np.int64) + 1)[last], common
 
 
 def aligned_block(texts: list[str | None], first, second) -> tuple[dict[str, np.ndarray | list], pa.DictionaryArray]:
@@ -130,10 +136,10 @@ def aligned_block(texts: list[str | None], first, second) -> tuple[dict[str, np.
         a, b = encode_a(f" {text}"), encode_b(text)
         if bytes_a.joined(a) != want or bytes_b.joined(b) != want:
             continue
-        ids[0].append(np.array(a, np.int64))
-        ids[1].append(np.array(b, np.int64))
+        ids[0].append(np.array(a, np.int32))
+        ids[1].append(np.array(b, np.int32))
         n_a[k], n_b[k], size[k] = len(a), len(b), len(want)
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in ids)
+    a, b = (np.concatenate(x) if x else np.empty(0, np.int32) for x in ids)
     data, stop, common = cut(a, np.cumsum(bytes_a.size[a]), b, np.cumsum(bytes_b.size[b]))
     upto = np.searchsorted(common, np.cumsum(size), side="right")
     groups = np.diff(upto, prepend=0)
@@ -155,7 +161,7 @@ def token_alignment(df: DataFrame, a_path: str, b_path: str, text: str = "text",
     Repeated rows give repeated results and count each; an empty table gives none; other columns are not looked at.
     """
     kind = df.schema[doc].dataType.simpleString()
-    whole = written(_blocks(df.select(df[doc].alias("doc"), df[text].alias("text")), a_path, b_path, kind))
+    whole = written(_blocks(df.select(df[doc].alias("doc"), df[text].alias("text")), a_path, b_path, kind), WRITER)
     known = whole.select("part", F.explode("known").alias("k")).select("part", "k.*")
     groups = known.groupBy("group").agg(F.sum("n").alias("n"))
     linked = groups.select("group", "n", F.explode(links("group")).alias("l")).select("group", "n", "l.a", "l.b")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,23 +34,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a compressed table in the shared folder that spark.checkpoint.dir names, read back from there.
-
-    Only a local session may go without that setting (tests); elsewhere its lack is an error.
-    """
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="seedloom-")
-        spark.sparkContext.setCheckpointDir(shared)
-    path = f"{shared.rstrip('/')}/seedloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_residue(id_col: str, modulus: int) -> Column:
     """crc32(id as text) mod ``modulus``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
