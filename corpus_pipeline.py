@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seedloom.llm import bpe_lexicon, exact_dedup, kn_quality, mixing, ngram_join
 from seedloom.llm.queries import LEVELS, MIX_SEED
-from seedloom.llm.util import checkpointed, read
+from seedloom.llm.util import checkpointed, read, small_batches
 
 #: Of ten parts of the tokens that reach the mix, those that it takes; no document is taken twice.
 TENTHS = 9
@@ -19,6 +19,7 @@ TENTHS = 9
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the trusted texts' model passes their language's fence go."""
+    small_batches(spark)
     trusted = read(spark, sf_dir, "labels").filter("quality = 1 and doc_id is not null")
     return kn_quality.accepted_rows(docs, trusted)
 
@@ -30,6 +31,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles, the one with the smallest id stays."""
+    small_batches(spark)
     return ngram_join.keep_one(docs, words=5, percent=80)
 
 
@@ -40,6 +42,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with digests of the ids and of what they decode to."""
+    small_batches(spark)
     return bpe_lexicon.bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
 
 

@@ -46,6 +46,11 @@ def release_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session passes ``rows`` rows at once to Python: whole texts make large rows, and each task of an executor holds a batch twice."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of the batches with about ``limit`` bytes of ``text`` each; a longer text is a slice of its own."""
     for batch in batches:
