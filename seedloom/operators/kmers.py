@@ -113,9 +113,10 @@ def pieces_at(at: DataFrame, contigs: DataFrame, length: int) -> DataFrame:
     Joined with pieces of the contigs by number and range of places, so no row carries a whole contig.
     """
     wide = max(PIECE, 8 * length)
-    placed = at.withColumn("begin", (F.floor(F.col("pos") / wide) * wide).cast("int"))
-    met = placed.join(pieces_of(contigs, length).select("seq_no", "begin", "piece"), ["seq_no", "begin"])
-    return met.withColumn("window", F.expr(f"substring(piece, cast(pos - begin as int) + 1, {length})")).select(*at.columns, "window")
+    placed = at.withColumn("_begin", (F.floor(F.col("pos") / wide) * wide).cast("int"))
+    pieces = pieces_of(contigs, length).select("seq_no", F.col("begin").alias("_begin"), F.col("piece").alias("_piece"))
+    met = placed.join(pieces, ["seq_no", "_begin"])
+    return met.withColumn("window", F.expr(f"substring(_piece, cast(pos - _begin as int) + 1, {length})")).select(*at.columns, "window")
 
 
 def whole_windows(at: DataFrame, contigs: DataFrame, length: int) -> DataFrame:

@@ -253,7 +253,8 @@ SUPPORT = f"""{_grams(UNIT)}, {_grams(_LONG, "long_grams")}, rep AS (SELECT kmer
     candidates AS MATERIALIZED (SELECT a.pattern, a.seq_no, a.pos, count(DISTINCT h.unit) AS support FROM anchors a
         JOIN hits h ON h.pattern = a.pattern AND h.seq_no = a.seq_no AND h.pos BETWEEN a.pos AND a.pos + {_SLIP} GROUP BY ALL)"""
 FAILS = f"""{SUPPORT}, away AS (SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM long_grams o WHERE o.kmer = c.pattern AND o.seq_no = c.seq_no AND abs(o.pos - c.pos) <= {_SLIP})),
-    tried AS (SELECT DISTINCT pattern, substring(seq, greatest(pos - {_SLIP}, 0) + 1, {_LONG + 2 * _SLIP}) AS w FROM away JOIN contigs USING (seq_no)),
+    starts AS (SELECT seq_no, spot, substring(seq, (spot + 1)::INT, {_LONG + 2 * _SLIP}) AS w FROM (SELECT seq_no, seq, unnest(range(0, length(seq))) AS spot FROM contigs)),
+    tried AS (SELECT DISTINCT pattern, w FROM away a JOIN starts s ON s.seq_no = a.seq_no AND s.spot = greatest(a.pos - {_SLIP}, 0)),
     scored AS (SELECT pattern, min(levenshtein(pattern, substring(w, i::INT + 1, n::INT))) AS dist FROM tried, range(0, {3 * _SLIP + 1}) a(i), range({_LONG - _SLIP}, {_LONG + _SLIP + 1}) b(n)
         WHERE i + n <= length(w) GROUP BY pattern),
     fails AS MATERIALIZED (SELECT pattern, least(coalesce(dist, {UNITS}), {UNITS})::BIGINT AS errors FROM rep LEFT JOIN scored USING (pattern))"""
