@@ -17,14 +17,7 @@ def edit_pairs(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
 
     Strings at distance below T share a string that each becomes by deleting at most T - 1 characters.
     """
-
-    def deletions(rows: DataFrame, name: str) -> DataFrame:
-        kept = rows.select(F.col("label").alias(name), F.array("label").alias("cuts"))
-        for _ in range(threshold - 1):
-            one = F.expr("flatten(transform(cuts, c -> transform(sequence(1, greatest(length(c), 1)), i -> concat(substring(c, 1, i - 1), substring(c, i + 1)))))")
-            kept = kept.withColumn("cuts", F.array_distinct(F.concat("cuts", one)))
-        return kept.select(name, F.explode("cuts").alias("cut"))
-
+    deletions = lambda rows, name: _cut_down(rows.select(F.col("label").alias(name)), name, threshold - 1)
     met = deletions(left, "v").join(deletions(right, "u"), "cut").select("v", "u").distinct()
     return met.withColumn("dist", F.levenshtein("v", "u", threshold - 1)).filter("dist >= 0")
 
@@ -79,16 +72,47 @@ def choose_signposts(seeds: DataFrame, first: str, count: int) -> list[str]:
     return chosen
 
 
+def _cut_down(rows: DataFrame, text: str, most: int) -> DataFrame:
+    """``rows`` with ``cut``: ``text`` with every choice of up to ``most`` characters deleted, each string once a row."""
+    kept = rows.withColumn("cuts", F.array(text))
+    for _ in range(most):
+        one = F.expr("flatten(transform(cuts, c -> transform(sequence(1, greatest(length(c), 1)), i -> concat(substring(c, 1, i - 1), substring(c, i + 1)))))")
+        kept = kept.withColumn("cuts", F.array_distinct(F.concat("cuts", one)))
+    return kept.withColumn("cut", F.explode("cuts")).drop("cuts")
+
+
+def prefix_candidates(left: DataFrame, right: DataFrame, errors: int) -> DataFrame:
+    """(seed, t): the pairs of different seeds that may be ``errors`` or fewer apart by prefix distance, and few others.
+
+    One of the two, whole, is then that near to a prefix of the other, so both become the same string by deleting at most
+    ``errors`` characters, and that string is at most as much shorter than the whole one. So pairs are joined by such
+    strings: a seed meets those within twice ``errors`` edits of it, whatever the size of the table. The number of
+    strings grows as the choices of ``errors`` of a seed's characters.
+    """
+    whole = lambda rows, name: _cut_down(rows.select(F.col("seed").alias(name)), name, errors).select(name, "cut").distinct()
+    lengths = sorted(r[0] for r in left.select(F.length("seed")).union(right.select(F.length("seed"))).distinct().collect() if r[0] is not None)  # as many as the longest seed has characters, at most
+    sizes = F.array(*[F.lit(j) for j in sorted({max(m + d, 0) for m in lengths for d in range(-errors, errors + 1)})]) if lengths else F.array(F.lit(0))
+
+    def prefixes(rows: DataFrame, name: str) -> DataFrame:
+        own = rows.select(F.col("seed").alias(name))
+        cut = own.withColumn("j", F.explode(F.filter(sizes, lambda j: j <= F.length(name)))).withColumn("p", F.expr(f"left({name}, j)"))
+        return _cut_down(cut, "p", errors).select(name, "cut").distinct()
+
+    one = whole(left, "seed").join(prefixes(right, "t"), "cut").select("seed", "t")
+    two = prefixes(left, "seed").join(whole(right, "t"), "cut").select("seed", "t")
+    return one.unionByName(two).filter("seed != t").distinct()
+
+
 def nearest_nontrivial(queries: DataFrame, database: DataFrame, limit: int) -> DataFrame:
     """(seed, closest): the least prefix distance below ``limit`` to another seed that is no pure shift; else ``limit``.
 
-    Candidates lie within ``limit`` of the query in every signpost distance. The first distance is joined by
-    equality on a range of values, so no unkeyed join is needed; seeds with N take no part.
+    Candidates are the pairs of prefix_candidates(); they count if they lie within ``limit`` of each other in every
+    signpost distance. Seeds with N take no part, nor do null ones.
     """
     q = queries.filter("not contains(seed, 'N')").select("seed", "distance")
-    d = database.filter("not contains(seed, 'N')").select(F.col("seed").alias("t"), F.col("distance").alias("td"), F.col("distance")[0].alias("bin"))
-    spread = q.withColumn("bin", F.explode(F.sequence(F.col("distance")[0] - limit, F.col("distance")[0] + limit)))
-    near = spread.join(d, "bin").filter(chebyshev("distance", "td") <= limit).filter("seed != t")
+    d = database.filter("not contains(seed, 'N')").select("seed", "distance")
+    met = prefix_candidates(q.select("seed").distinct(), d.select("seed").distinct(), limit - 1)
+    near = met.join(q, "seed").join(d.select(F.col("seed").alias("t"), F.col("distance").alias("td")), "t").filter(chebyshev("distance", "td") <= limit)
     scored = near.withColumn("score", prefix_distance("seed", "t")).filter(f"score < {limit}").filter(~pure_shift("seed", "t", "score"))
     best = scored.groupBy("seed").agg(F.min("score").alias("closest"))
     return q.select("seed").distinct().join(best, "seed", "left").withColumn("closest", F.coalesce("closest", F.lit(limit)))
