@@ -9,24 +9,45 @@ from pyspark.sql import functions as F
 def contigs_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_no, seq): the bases in each document's text, in upper case."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("seq_no"), F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("seq"))
+    return docs.select(F.col("doc_id").alias("seq_no"), F.upper(F.regexp_replace("text", "[^ACGTacgt]+", "")).alias("seq"))
+
+
+def _lines(spark: SparkSession, path: str, of: str) -> DataFrame:
+    """(file, block, at, value, own, before): the lines of text files, read in byte ranges by as many tasks as Spark cuts.
+
+    ``at`` is in order within a range. ``own`` is 1 where the SQL condition ``of`` holds, else 0; ``before`` is their
+    number in the ranges of the file that come first, summed over one row for each range.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value", F.expr(f"int({of})").alias("own")
+    )
+    sums = lines.groupBy("file", "block").agg(F.sum("own").alias("s"))
+    before = F.coalesce(F.sum("s").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(sums.select("file", "block", before.alias("before")), ["file", "block"])
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq_no, name, seq) of the contigs of FASTA files; lines of one contig are joined."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    records = whole.select("file", F.posexplode(F.slice(F.split(F.concat(F.lit("\n"), "value"), "\n>"), 2, 1 << 30)).alias("seq_no", "r"))
-    head = F.regexp_extract("r", r"^([^\r\n]*)", 1)
-    return records.select("file", "seq_no", head.alias("name"), F.regexp_replace(F.regexp_replace("r", r"^[^\n]*(\n|$)", ""), r"\s", "").alias("seq"))
+    """(file, seq_no, name, seq) of the contigs of FASTA files; lines of one contig are joined, what stands before the first header is left out.
+
+    A file is read in byte ranges; a contig that crosses some is put together from its lines, and is one row in the end.
+    """
+    order = Window.partitionBy("file", "block").orderBy("at")
+    known = _lines(spark, path, "startswith(value, '>')").withColumn("no", F.col("before") + F.sum("own").over(order) - 1).filter("no >= 0")
+    part = F.when(F.col("own") == 0, F.struct("block", "at", F.regexp_replace("value", r"\s", "").alias("value")))
+    whole = known.groupBy("file", F.col("no").cast("int").alias("seq_no")).agg(F.max(F.when(F.col("own") == 1, F.expr("substring(value, 2)"))).alias("name"), F.sort_array(F.collect_list(part)).alias("parts"))
+    return whole.select("file", "seq_no", F.regexp_replace("name", r"\r$", "").alias("name"), F.array_join("parts.value", "").alias("seq"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, read_no, name, seq, qual): records of four lines; files are split by record, not by line."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.rtrim("value"), r"\r?\n").alias("l"))
-    many = F.floor((F.size("l") / 4).cast("double"))
-    at = lines.filter(F.size("l") >= 4).select("file", "l", F.explode(F.sequence(F.lit(0), (many - 1).cast("int"))).alias("read_no"))
-    line = lambda k: F.element_at("l", F.col("read_no") * 4 + k)
-    return at.select("file", "read_no", F.substring(line(1), 2, 1 << 30).alias("name"), line(2).alias("seq"), line(4).alias("qual"))
+    """(file, read_no, name, seq, qual): records of four lines; a file is read in byte ranges, and records may cross them.
+
+    Lines are numbered through each file by the ranges' sums. An incomplete last record and blank lines at the end are left out.
+    """
+    order = Window.partitionBy("file", "block").orderBy("at")
+    known = _lines(spark, path, "true").withColumn("no", F.col("before") + F.row_number().over(order) - 1)
+    line = lambda k: F.max(F.when(F.col("no") % 4 == k, F.col("value")))
+    records = known.groupBy("file", F.expr("int(no div 4)").alias("read_no")).agg(F.count("*").alias("n"), line(0).alias("name"), line(1).alias("seq"), line(3).alias("qual"))
+    return records.filter("n = 4 and name != ''").select("file", "read_no", F.expr("substring(name, 2)").alias("name"), "seq", "qual")
 
 
 def read_seed_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -93,3 +114,19 @@ def write_index(kmers: DataFrame, path: str, letters: int = 2) -> None:
 def read_index(spark: SparkSession, path: str, kmer: str, letters: int = 2) -> DataFrame:
     """(kmer, seq_no, pos) of one k-mer."""
     return spark.read.parquet(path).filter((F.col("head") == kmer[:letters]) & (F.col("kmer") == kmer)).drop("head")
+
+
+def write_words(words: DataFrame, path: str, width: int = 4096) -> None:
+    """Position words (seq_no, pos, word) as Parquet with one array for each ``width`` places of a contig, in order, 0 where there is none."""
+    at = words.select("seq_no", F.expr(f"pos div {width}").alias("range"), F.expr(f"int(pos % {width})").alias("i"), "word")
+    packed = at.groupBy("seq_no", "range").agg(F.map_from_entries(F.collect_list(F.struct("i", "word"))).alias("m"))  # no more than ``width``
+    cells = F.expr(f"transform(sequence(0, array_max(map_keys(m))), i -> coalesce(m[i], 0))")
+    rows = packed.select("seq_no", "range", F.lit(width).alias("width"), cells.alias("words"))
+    rows.repartitionByRange("seq_no", "range").sortWithinPartitions("seq_no", "range").write.parquet(path)
+
+
+def read_words(spark: SparkSession, path: str, seq_no: int, first: int, last: int, width: int = 4096) -> DataFrame:
+    """(seq_no, pos, word) of the places ``first`` to ``last`` of a contig; only its ranges that hold them are read. ``width`` as written."""
+    rows = spark.read.parquet(path).filter((F.col("seq_no") == seq_no) & F.col("range").between(first // width, last // width))
+    each = rows.select("seq_no", "range", F.posexplode("words").alias("i", "word"))
+    return each.select("seq_no", (F.col("range") * width + F.col("i")).alias("pos"), "word").filter(F.col("pos").between(first, last))

@@ -8,7 +8,7 @@ from seedloom.functions import sequence as S
 from seedloom.operators import distances as D
 from seedloom.operators import kmers as K
 from seedloom.operators import seeds as P
-from seedloom.plans import catalogue
+from seedloom.plans import catalogue, seeding
 from seedloom.sources import genome as G
 
 SF = "/root/testdata/sf0.001"
@@ -26,10 +26,13 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+QUERIES, ORACLE_SQL = catalogue.QUERIES | seeding.QUERIES, catalogue.ORACLE_SQL | seeding.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    got = catalogue.QUERIES[name](spark, SF)
-    want = con.sql(catalogue.ORACLE_SQL[name])
+    got = QUERIES[name](spark, SF)
+    want = con.sql(ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
