@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import chebyshev, prefix_distance, pure_shift, relation_flags
+from ..sources.storage import written
 from .kmers import substrings
 
 #: Distances to signposts stop here (a fixed value of the vector format).
@@ -22,6 +23,32 @@ def edit_pairs(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
     return met.withColumn("dist", F.levenshtein("v", "u", threshold - 1)).filter("dist >= 0")
 
 
+def trie_pairs(labels: DataFrame, most: int, threshold: int) -> DataFrame:
+    """(v, u, dist): as edit_pairs() of the labels of up to ``most`` bases and all labels, level by level of a trie.
+
+    ``labels``: every node (label) of a trie, each with its prefixes; the root is added. A pair below ``threshold`` comes
+    from one at the level before, by one base more in v, in both, or in u, so each level joins the pairs of the last one
+    with the nodes' children, and then as often as u may go on alone. Work grows with the pairs found, not with the ways
+    to delete characters. Each level is written before the next one. Null labels have no pairs.
+    """
+    spark = labels.sparkSession
+    nodes = labels.select("label").filter("label is not null").union(spark.createDataFrame([("",)], "label string")).distinct()
+    nodes = written(nodes.withColumn("size", F.length("label")))
+    kids = nodes.filter("size > 0").select(F.expr("left(label, size - 1)").alias("parent"), F.col("label").alias("child"), "size")
+    near = lambda rows: rows.withColumn("dist", F.levenshtein("v", "u", threshold - 1)).filter("dist >= 0")
+    longer = lambda rows: rows.join(kids, F.col("u") == F.col("parent")).select("v", F.col("child").alias("u"))
+    pairs = found = written(nodes.filter(f"size < {threshold}").select(F.lit("").alias("v"), F.col("label").alias("u"), F.col("size").alias("dist")))
+    for depth in range(1, most + 1):
+        base = found.join(kids.filter(f"size = {depth}"), F.col("v") == F.col("parent")).select(F.col("child").alias("v"), "u")
+        found = last = written(near(base.unionByName(longer(base)).distinct()))
+        for _ in range(threshold - 1):
+            last = near(longer(last.filter(f"dist < {threshold - 1}")).distinct()).join(found.select("v", "u"), ["v", "u"], "left_anti")
+            last = written(last)
+            found = found.unionByName(last)
+        pairs = pairs.unionByName(found)
+    return pairs.select("v", "u", "dist")
+
+
 def flagged_pairs(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
     """(v, u, dist, flag): pairs below ``threshold`` with the bits of their relation."""
     return edit_pairs(left, right, threshold).withColumn("flag", relation_flags("v", "u", threshold))

@@ -55,3 +55,13 @@ def test_candidates_of_a_seed_do_not_grow_with_the_table(spark):
         assert pairs.count() <= n * n // 200  # all pairs within one signpost's band were nearly n * n
     near = pairs.filter(prefix_distance("seed", "t") <= 2).count()
     assert near > 0
+
+
+@pytest.mark.parametrize("most, threshold", [(4, 4), (3, 2), (2, 1), (8, 4)])
+def test_pairs_of_a_trie_level_by_level(spark, most, threshold):
+    rng = random.Random(most)
+    text = "".join(rng.choice("ACGT") for _ in range(40))
+    labels = {text[k : k + n] for n in range(1, 11) for k in range(len(text) - n + 1)}
+    want = {(v, u, edit(v, u)[-1]) for v in labels | {""} if len(v) <= most for u in labels | {""} if edit(v, u)[-1] < threshold}
+    got = D.trie_pairs(spark.createDataFrame([(x, 1) for x in [*labels, None]], "label string, size int"), most, threshold).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
