@@ -18,15 +18,18 @@ UNIT, DEPTH, FREQUENT, CLOSE = 12, 5, 5, 3
 UNITS = 2
 #: Tolerance without a near neighbour, and bases of an optimal seed, at least.
 FARTHEST, SHORTEST = 3, 10
+#: Bases of a read.
+READ = 48
 #: Bases that stand for hexadecimal digits in made-up seeds.
 LETTERS = "ACGTNACGTACGTACG"
 SIGNPOST, SECOND = "ACGTACGTACGT", "TTGACCAGTACA"
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(read_no, seq): 48 bases of each contig, one of them replaced by A."""
-    found = G.contigs_of_documents(spark, sf_dir).filter("length(seq) >= 60")
-    return found.select(F.col("seq_no").alias("read_no"), F.expr("concat(substring(seq, 7, 20), 'A', substring(seq, 28, 27))").alias("seq"))
+    """(read_no, seq): all contigs as reads of READ bases one after another, the last one shorter; the 21st base is A."""
+    cut = contigs(spark, sf_dir).select("seq_no", F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{READ}}}"), F.lit(0))).alias("i", "x"))
+    changed = F.expr("concat(left(x, 20), if(length(x) > 20, 'A', ''), substring(x, 22))")
+    return cut.select((F.col("seq_no") * 1_000_000 + F.col("i")).alias("read_no"), changed.alias("seq"))
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +179,8 @@ def trie_neighbor_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONTIGS = "contigs AS (SELECT doc_id AS seq_no, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents)"
-READS = "reads AS (SELECT seq_no AS read_no, substring(seq, 7, 20) || 'A' || substring(seq, 28, 27) AS seq FROM contigs WHERE length(seq) >= 60)"
+READS = f"""reads AS MATERIALIZED (SELECT seq_no * 1000000 + i AS read_no, substring(x, 1, 20) || CASE WHEN length(x) > 20 THEN 'A' ELSE '' END || substring(x, 22) AS seq FROM
+    (SELECT seq_no, i, substring(seq, (i * {READ} + 1)::INT, {READ}) AS x FROM (SELECT seq_no, seq, unnest(range(0, (length(seq) + {READ - 1}) // {READ})) AS i FROM contigs)))"""
 SEEDS = f"seeds AS (SELECT DISTINCT substring(seq, 1, {UNIT}) AS seed FROM contigs WHERE length(seq) >= {UNIT})"
 NORMAL = "upper(regexp_replace(text, '[^ACGTacgt]', 'N', 'g'))"
 
@@ -231,8 +235,8 @@ CELLS = ", ".join(
 )
 ALL_CELLS = " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(SHORTEST, UNIT + 1))
 
-#: Windows of all lengths that leave two seeds of SHORTEST in a read of 48 bases.
-LONGEST = 48 - 2 * SHORTEST
+#: Windows of all lengths that leave two seeds of SHORTEST in a read; in a shorter one, longer windows leave no room for three.
+LONGEST = READ - 2 * SHORTEST
 EVERY_CELL = " UNION ALL ".join(
     f"""SELECT read_no, beg, beg + {k} AS fin, coalesce(n, 0) AS freq FROM
     (SELECT read_no, beg, substring(seq, beg + 1, {k}) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - {k - 1})) AS beg FROM reads))
