@@ -50,6 +50,19 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return records.filter("n = 4 and name != ''").select("file", "read_no", F.expr("substring(name, 2)").alias("name"), "seq", "qual")
 
 
+def read_seeds(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """(file, seed): the first token of each line that has one; of the first ``first`` such lines of each file, if given."""
+    known = _lines(spark, path, "trim(value) != ''")
+    no = F.col("before") + F.sum("own").over(Window.partitionBy("file", "block").orderBy("at"))
+    rows = known.filter("own = 1") if first is None else known.withColumn("no", no).filter((F.col("own") == 1) & (F.col("no") <= first))
+    return rows.select("file", F.split(F.trim("value"), r"\s+")[0].alias("seed"))
+
+
+def write_without_n(spark: SparkSession, path: str, out: str) -> None:
+    """A copy of text files without the lines whose first token holds an N; lines keep their order within a range of a file."""
+    spark.read.text(path).filter(~F.split("value", " ")[0].contains("N")).write.text(out)
+
+
 def read_seed_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(seed, distance array<int>) from lines "seed d0 d1 ..."; the last line needs no line end."""
     parts = F.split(F.trim("value"), r"\s+")

@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from seedloom.operators import distances as D
+from seedloom.operators import kmers as K
 from seedloom.sources import genome as G
 
 
@@ -38,3 +40,35 @@ def test_words_of_places_by_range(spark, tmp_path):
     filled = G.read_words(spark, f"{tmp_path}/w", 5, 0, 299, 64)
     assert filled.filter(F.col("pos") % 3 == 0).agg(F.max("word")).first()[0] == 0 and filled.filter("word > 0").count() == sum(r[0] == 5 and r[2] > 0 for r in rows)
     assert G.read_words(spark, f"{tmp_path}/w", 9, 0, 10, 64).count() == 0
+
+
+def test_first_seeds_and_a_copy_without_n(spark, tmp_path):
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("ACGTN") for _ in range(6)) + f" {k}" for k in range(200)] + ["", "ACGT", "  ", "AC NN"]
+    rng.shuffle(lines)
+    (tmp_path / "s.txt").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        seeds = [x.split()[0] for x in lines if x.strip()]
+        assert sorted(r.seed for r in G.read_seeds(spark, f"{tmp_path}/s.txt").collect()) == sorted(seeds)
+        assert sorted(r.seed for r in G.read_seeds(spark, f"{tmp_path}/s.txt", 57).collect()) == sorted(seeds[:57])
+        G.write_without_n(spark, f"{tmp_path}/s.txt", f"{tmp_path}/out")
+        assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out").collect()) == sorted(x for x in lines if "N" not in x.split(" ")[0])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_edges_and_profiles_by_depth(spark, tmp_path):
+    rng = random.Random(6)
+    contigs = spark.createDataFrame([(k, "".join(rng.choice("ACGT") for _ in range(80))) for k in range(3)], "seq_no long, seq string")
+    nodes = K.trie(contigs, 4).select("depth", "label")
+    edges = D.flagged_pairs(nodes.filter("depth <= 3"), nodes, 2).withColumn("depth", F.length("v"))
+    G.write_by_depth(edges, f"{tmp_path}/edges")
+    back = G.read_by_depth(spark, f"{tmp_path}/edges", 2, 3)
+    kept = lambda df: sorted((r.v, r.u, r.dist, r.flag, r.depth) for r in df.collect())
+    assert kept(back) == kept(edges.filter("depth between 2 and 3")) and "PartitionFilters: [isnotnull(depth" in back._jdf.queryExecution().executedPlan().toString()
+    profiles = [D.position_tolerance(contigs, edges.drop("depth"), d, 3).select(F.lit(d).alias("depth"), "seq_no", F.col("pos").cast("long").alias("pos"), "ets") for d in (2, 3)]
+    G.write_by_depth(profiles[0].unionByName(profiles[1]), f"{tmp_path}/ets")
+    same = lambda df: sorted((r.seq_no, r.pos, r.ets) for r in df.collect())
+    assert same(G.read_by_depth(spark, f"{tmp_path}/ets", 3, 3)) == same(profiles[1]) and profiles[1].count() == 240
