@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.ordered import ranges, running
+
 
 #: Bases of the pieces that contigs are cut into before their substrings are taken, at least.
 PIECE = 256
@@ -58,14 +60,10 @@ def trie(contigs: DataFrame, depth: int) -> DataFrame:
 
 
 def trie_nodes(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with node_id: breadth first, by label within a depth, the root 0. Numbered by depth and first letters."""
-    inside = F.row_number().over(Window.partitionBy("depth", F.substring("label", 1, 2)).orderBy("label"))
-    sizes = nodes.groupBy("depth", F.substring("label", 1, 2).alias("head")).agg(F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy("depth", "head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col("depth").alias("d"), "head", before.alias("start"))
-    numbered = nodes.withColumn("inside", inside)
-    at = (F.col("depth") == F.col("d")) & (F.substring("label", 1, 2) == F.col("head"))
-    return numbered.join(starts, at).select("depth", "label", "freq", (F.col("start") + F.col("inside")).alias("node_id"))
+    """``nodes`` with node_id: breadth first, by label within a depth, the root 0. Numbered by ranges of that order."""
+    order = ["depth", "label"]
+    placed = ranges(nodes.select("depth", "label", "freq", F.lit(1).alias("one")), order)
+    return running(placed, order, "one", "before").select("depth", "label", "freq", (F.col("before") + 1).alias("node_id"))
 
 
 def trie_children(numbered: DataFrame, depth: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranges, running
+
 
 def contigs_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_no, seq): the bases in each document's text, in upper case."""
@@ -77,17 +79,10 @@ def write_seed_vectors(vectors: DataFrame, path: str) -> None:
     vectors.orderBy("distance", "seed").select(line.alias("value")).write.text(path)
 
 
-def global_offsets(contigs: DataFrame, width: int = 1024) -> DataFrame:
-    """(seq_no, length, global_off): where each contig starts in the text of all, one separator after each.
-
-    Sums by ranges of seq_no come first, so the running sums are over ranges, and then within each.
-    """
-    rows = contigs.select("seq_no", F.length("seq").cast("long").alias("length")).withColumn("range", F.floor(F.col("seq_no") / width))
-    sums = rows.groupBy("range").agg(F.sum(F.col("length") + 1).alias("s"))
-    before = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("range", F.coalesce(F.sum("s").over(before(Window.orderBy("range"))), F.lit(0)).alias("start"))
-    inside = F.coalesce(F.sum(F.col("length") + 1).over(before(Window.partitionBy("range").orderBy("seq_no"))), F.lit(0))
-    return rows.join(starts, "range").select("seq_no", "length", (F.col("start") + inside).alias("global_off"))
+def global_offsets(contigs: DataFrame) -> DataFrame:
+    """(seq_no, length, global_off): where each contig starts in the text of all in order, one separator after each."""
+    rows = contigs.select("seq_no", F.length("seq").cast("long").alias("length")).withColumn("own", F.col("length") + 1)
+    return running(ranges(rows, ["seq_no"]), ["seq_no"], "own", "global_off").select("seq_no", "length", "global_off")
 
 
 def read_signposts(spark: SparkSession, path: str) -> DataFrame:
