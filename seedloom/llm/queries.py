@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_lexicon, chat_windows, exact_dedup, filter_audit, kn_quality, lbl_score, mixing, ngram_join, nn_descent, ppm_langid, secret_scan, token_align, token_counts
-from .util import read
+from .util import read, small_batches
 
 
 #: The tree of the mix: four domains by a source's number, languages, sources; its weights, budget and epochs.
@@ -41,6 +41,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     trusted = read(spark, sf_dir, "labels").filter("quality = 1 and doc_id is not null")
     return kn_quality.quality(read(spark, sf_dir, "documents"), trusted)
 
