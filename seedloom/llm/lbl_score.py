@@ -8,10 +8,13 @@ times its own share, (c + 1) / (N' + V' + 1), of that ending's tokens.
 
 The model predicts a symbol from the CONTEXT symbols before it: r = sum_i C_i R[w_i]. Symbols lie in blocks of about
 the square root of their number; P(symbol) = P(block) P(symbol in block), by scores r . S[block] + g[block] and
-r . Q[w] + b[w]. Every task trains a copy on its own texts in numpy, with noise shared by a minibatch so that the work
-is matrix products; Spark averages what the copies that changed a row moved it by, weighted by tokens and sent in
-eight bits, and the next round starts there. Scores are normalised exactly, over all blocks and the whole block of the target, once for each distinct
-context of a batch.
+r . Q[w] + b[w]. Training texts belong to shards by hashes of id and text, so how the table is split and ordered does
+not matter: a shard's texts meet in one task, in the order of their hashes, and train a copy in numpy, with noise shared
+by a minibatch so that the work is matrix products. Spark averages what the copies that changed a row moved it by,
+weighted by tokens and sent in eight bits. A round takes its own part of the texts and starts from that mean, so each
+text is read by one round. Shards are the square root of the corpus' tokens over SHARDED: their number and their size
+grow alike, and so does what they send. Scores are normalised exactly, over all blocks and the whole block of the
+target, once for each distinct context of a batch.
 
 Counts of the HEAD most frequent tokens are broadcast (a few MB); only rarer tokens of the texts are shuffled to meet
 their counts, so no hot word is ever a key of a shuffle.
@@ -37,7 +40,10 @@ TAIL_BITS = 12
 HEAD = 1 << 18
 CONTEXT = 2
 WIDTH = 16
-ROUNDS = 1
+#: Parts of the texts, trained on one after another.
+ROUNDS = 4
+#: Square roots of the tokens to a shard.
+SHARDED = 256
 NOISE = 64
 MINIBATCH = 4096
 RATE = 0.1
@@ -167,6 +173,7 @@ class LogBilinear:
         self.b = np.log(unigram).astype(np.float32)
         self.S = rng.normal(0, 0.1, (len(blocks), WIDTH)).astype(np.float32)
         self.g = np.log(blocks).astype(np.float32)
+        self.rate = RATE
         self.step_sizes: dict[str, np.ndarray] = {}
 
     #: Parameters of single symbols, and those that all texts change.
@@ -209,13 +216,13 @@ class LogBilinear:
         seen = self.step_sizes.setdefault(name, np.full(value.shape, FIRST_STEP, np.float32))
         if rows is None:
             seen += grad * grad
-            value += RATE * grad / np.sqrt(seen)
+            value += self.rate * grad / np.sqrt(seen)
             return
         order = np.argsort(rows, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) > 0]))
         own, total = rows[order][first], np.add.reduceat(grad[order], first, axis=0)
         seen[own] += total * total
-        value[own] += RATE * total / np.sqrt(seen[own])
+        value[own] += self.rate * total / np.sqrt(seen[own])
 
     def _estimate(self, name: str, bias: str, r: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """Ascends by targets against NOISE shared draws from their unigram distribution; the gradient at ``r``."""
@@ -286,7 +293,8 @@ def _moves(part: int, raw: bytes, rows: int) -> np.ndarray:
 
 
 def _mean(table: pa.Table) -> pa.Table:
-    """One row of the mean of what the copies that changed a part's rows moved them by."""
+    """One row of the mean of what the copies that changed a part's rows moved them by, added in the order of shards."""
+    table = table.sort_by("shard")
     part = table.column("part")[0].as_py()
     rows = [np.frombuffer(x, np.int32) for x in table.column("rows").to_pylist()]
     ids, back = np.unique(np.concatenate(rows), return_inverse=True)
@@ -303,17 +311,33 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([part], pa.int32()), "rows": [ids.tobytes()], "x": [mean.tobytes()]})
 
 
-def train_model(df: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
-    """Averages copies trained on all texts ``t``, ``rounds`` times."""
-    model = LogBilinear(words.unigram)
+def shards_wanted(total: int) -> int:
+    return max(1, round(total**0.5 / SHARDED))
+
+
+def rate_of(turn: int) -> float:
+    """Sums of squares start anew in each round, so later rounds step less."""
+    return RATE / (1 + turn)
+
+
+def train_model(df: DataFrame, words: Vocabulary, rounds: int = ROUNDS, shards: int | None = None) -> LogBilinear:
+    """Averages copies trained on the shards of the texts ``t`` with ids ``i``, once for each of ``rounds`` parts of them.
+
+    Neither partitions nor the order of rows matter. Repeated rows share a shard, which its task reads as a stream.
+    """
+    model, shards = LogBilinear(words.unigram), shards or shards_wanted(words.total)
+    placed = df.select(F.xxhash64(F.col("i").cast("string"), "t").alias("h"), "t")
     for turn in range(rounds):
+        model.rate = rate_of(turn)
         shared = broadcast_value(df.sparkSession, (words, model))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             vocabulary, start = _tables(shared)
-            own = start.copy()
-            seen, rng = 0, np.random.default_rng(turn)
+            own, seen, rng, shard = None, 0, None, 0
             for part in chunks(batches, "t"):
+                if own is None:
+                    shard = part.column("shard")[0].as_py()
+                    own, rng = start.copy(), np.random.default_rng([turn, shard])
                 keys, offsets = token_keys(part.column("t"))
                 symbols = vocabulary.look_up(keys)[0]
                 before = histories(symbols, offsets)
@@ -327,17 +351,20 @@ def train_model(df: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> LogBi
                     scale = np.maximum(np.abs(moved).max(1, keepdims=True), np.float32(1e-12)) / 127
                     moved = np.concatenate([scale.view(np.uint8), np.rint(moved / scale).astype(np.int8).view(np.uint8)], 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int32()), pa.array([rows.tobytes()], pa.binary()), pa.array([moved.tobytes()], pa.binary()), pa.array([float(seen)])],
-                    names=["part", "rows", "x", "w"],
+                    [pa.array([number], pa.int32()), pa.array([shard], pa.int32()), pa.array([rows.tobytes()], pa.binary()), pa.array([moved.tobytes()], pa.binary()), pa.array([float(seen)])],
+                    names=["part", "shard", "rows", "x", "w"],
                 )
 
-        copies = df.mapInArrow(run, "part int, rows binary, x binary, w double")
+        place = F.pmod(F.shiftright("h", 16), F.lit(shards)).cast("int")
+        mine = placed.filter(F.pmod("h", F.lit(rounds)) == turn).withColumn("shard", place)
+        copies = mine.repartitionById(shards, "shard").sortWithinPartitions("h").mapInArrow(run, "part int, shard int, rows binary, x binary, w double")
         mean = copies.groupBy("part").applyInArrow(_mean, "part int, rows binary, x binary").toArrow()  # as large as the model
         after = model.copy()
         for part, rows, x in zip(*(mean.column(c).to_pylist() for c in ("part", "rows", "x")), strict=True):
             rows = np.frombuffer(rows, np.int32)
             after.put(part, rows, model.values(part, rows) + np.frombuffer(x, np.float32).reshape(len(rows), -1))
         model = after
+        shared.unpersist()
     return model
 
 
@@ -351,7 +378,8 @@ def lm_scores(df: DataFrame, text: str = "text", doc: str = "doc_id", held: int
 
     Learns from the rows whose crc32(id as text) mod ``folds`` is not ``held``; a null id is not held out and never
     learnt from. Null texts count as empty: their one token is the end. base_score is add-one unigram, score the
-    model's; both are log10 of the whole text's probability. Repeated rows give repeated results.
+    model's; both are log10 of the whole text's probability. Repeated rows give repeated results, an empty table none;
+    other columns, whatever their names, are not read.
     """
     rows = df.select(
         F.monotonically_increasing_id().alias("r"),
@@ -359,8 +387,8 @@ def lm_scores(df: DataFrame, text: str = "text", doc: str = "doc_id", held: int
         F.coalesce(id_residue(doc, folds) == held, F.lit(False)).alias("h"),
         F.col(text).alias("t"),
     )
-    learnt = df.filter(id_residue(doc, folds) != held).select(F.col(text).alias("t"))
-    counts = checkpointed(token_counts(learnt))
+    learnt = df.filter(id_residue(doc, folds) != held).select(F.col(doc).alias("i"), F.col(text).alias("t"))
+    counts = checkpointed(token_counts(learnt.select("t")))
     words = vocabulary_of(counts)
     model = train_model(learnt, words)
     shared = broadcast_value(df.sparkSession, (words, model))

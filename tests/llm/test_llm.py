@@ -229,6 +229,23 @@ def test_lm_predicts_unseen_texts_better_than_counts(spark):
     assert 10 ** (-got[0] / got[2]) < 0.8 * 10 ** (-got[1] / got[2])
 
 
+def test_lm_scores_do_not_depend_on_layout(spark, monkeypatch):
+    """The same scores from 2 and 64 partitions in another order, over several shards, and well below the counts'."""
+    monkeypatch.setattr(lbl_score, "SHARDED", 100)
+    rng = np.random.default_rng(12)
+    rows = [(k, " ".join(f"{'ab'[k % 2]}{x}" for x in rng.zipf(1.5, 300) % 500)) for k in range(600)]
+    rows += [(None, "a1 a2"), (600, None), (601, ""), *[(602, "a1 a1 a2")] * 3]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lbl_score.shards_wanted(600 * 301) >= 4
+    few, many = (
+        {r.doc_id: (r.score, r.base_score, r.n_tokens, r.held_out) for r in lbl_score.lm_scores(x).collect()}
+        for x in (df.coalesce(2), df.orderBy(F.desc("text")).repartition(64))
+    )
+    assert few.keys() == many.keys() and all(few[k][0] == pytest.approx(many[k][0], rel=1e-4) for k in few)
+    held = [x for x in many.values() if x[3]]
+    assert sum(x[0] for x in held) > 0.95 * sum(x[1] for x in held)
+
+
 def test_log_bilinear_is_normalised():
     model = lbl_score.LogBilinear(np.full(30, 1 / 30))
     before = [np.full(30, 4), np.full(30, 7)]
