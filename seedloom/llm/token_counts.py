@@ -1,9 +1,10 @@
 """Token counts of whole texts by a byte-level BPE tokenizer, in Arrow functions that return lengths only.
 
 Rows are encoded in batches of about BATCH_BYTES bytes, one call a batch. A text over SPLIT_BYTES is encoded in pieces,
-cut only where the tokenizer's own pattern always starts a new pre-token: before a space between two other characters,
-and where ASCII letters, digits and other signs (but for the apostrophe) meet. Merges never cross pre-tokens, so the
-pieces' counts add up to the text's count; a single pre-token has no such place, and stays whole however long.
+cut only where the tokenizer's own pattern always starts a new pre-token: before white space that follows another
+character, and where two of letters, digits and other signs meet (but for apostrophes), in ASCII and in the scripts of
+LETTERS and SIGNS. Merges never cross pre-tokens, so the pieces' counts add up to the text's count; a single pre-token
+has no such place, and stays whole however long.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,14 @@ from .util import chunks
 
 BATCH_BYTES = 1 << 20
 SPLIT_BYTES = 1 << 16
-SAFE = regex.compile(r"(?<=[!-~]) (?=[!-~])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[!-&(-/:-@[-`{-~])|(?<=[!-&(-/:-@[-`{-~])(?=[A-Za-z0-9])")
+#: Letters, digits and signs that every version of Unicode in use knows as such; no apostrophe, which may start a pre-token.
+LETTERS = r"A-Za-zÀ-ÖØ-öø-ɏΑ-Ρα-ωА-яא-תؠ-يक-हก-ฮぁ-ゖァ-ヺ一-龥가-힣"
+DIGITS = "0-9"
+SIGNS = r"!-&(-/:-@\[-`{-~‐-‗†-‧、-〃〈-】！-＆（-／：-＠"
+SAFE = regex.compile(
+    r"(?<=[^\s\p{Z}\p{C}])(?=[ \t\n\r])|"
+    + "|".join(f"(?<=[{a}])(?=[{b}])" for a, b in permutations((LETTERS, DIGITS, SIGNS), 2))
+)
 #: The pre-token pattern of byte-level BPE files with "use_regex" (a fixed value of that format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

@@ -229,6 +229,22 @@ def test_lm_predicts_unseen_texts_better_than_counts(spark):
     assert 10 ** (-got[0] / got[2]) < 0.8 * 10 ** (-got[1] / got[2])
 
 
+def test_token_counts_cut_beyond_ascii():
+    """Pieces of a byte at least, of texts over many scripts, give the library's counts; long runs with places are cut."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    coder, rng = token_counts.counter(path), np.random.default_rng(5)
+    signs = [*"abzé中。、'’s1９ \n\t\u3000\xa0\x1c\x85!?—“”ßдخक가かー😀", "<|endoftext|>", "'s", "'ll", "  ", "\r\n"]
+    cut = 0
+    for n in rng.integers(0, 60, 800):
+        text = "".join(rng.choice(signs, int(n)))
+        some = [p for p in token_counts.pieces(text, token_counts.regex.compile(r"<\|endoftext\|>"), 1) if p]
+        cut += len(some) > 1
+        assert "".join(some) == text and sum(coder(some)) == len(library.encode(text, add_special_tokens=False).ids)
+    assert cut > 600
+    assert len(list(token_counts.pieces("中文字。日本、" * 36_000))) > 8 and len(list(token_counts.pieces("abc\n" * 100_000))) > 5
+
+
 def test_lm_scores_do_not_depend_on_layout(spark, monkeypatch):
     """The same scores from 2 and 64 partitions in another order, over several shards, and well below the counts'."""
     monkeypatch.setattr(lbl_score, "SHARDED", 100)
