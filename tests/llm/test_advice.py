@@ -109,6 +109,21 @@ def test_secret_models_withstand_bare_tokens_in_the_sample():
     assert [k for k, _, _ in secret_scan.all_spans("the value " + planted[0][:18] + " of", model)] == ["markov"]
 
 
+def test_secret_scan_finds_bare_tokens_in_a_table(spark):
+    """Bare tokens planted behind more than 400 words are found, however the table is split; clean documents have none."""
+    rng = np.random.default_rng(9)
+    words = "the ship of north wind water with that value index name read count table state house light".split()
+    letters = list(secret_scan.ALPHABET[:62])
+    rows = [(k, " ".join(rng.choice(words, 600)) + (" " + "".join(rng.choice(letters, 40)) + " end" if k % 15 == 0 else "")) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for parts in (2, 31):
+        for r in secret_scan.secret_scan(df.repartition(parts)).collect():
+            got.setdefault(r.doc_id, set()).add(r.spans)
+    for k, text in rows:
+        assert got[k] == ({f"markov:{len(text) - 44}:{len(text) - 4}"} if k % 15 == 0 else {""})
+
+
 def test_nearest_rows_withstand_a_large_component_and_other_lengths(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
