@@ -41,9 +41,9 @@ HEAD = 1 << 18
 CONTEXT = 2
 WIDTH = 16
 #: Parts of the texts, trained on one after another.
-ROUNDS = 4
+ROUNDS = 2
 #: Square roots of the tokens to a shard.
-SHARDED = 256
+SHARDED = 512
 NOISE = 64
 MINIBATCH = 4096
 RATE = 0.1
