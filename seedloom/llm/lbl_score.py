@@ -6,8 +6,9 @@ GROWTH times the square root of the corpus' tokens of them; all others share the
 an eighth of the words have, 4096 at most. A word of an ending has the probability of that symbol, given the context,
 times its own share, (c + 1) / (N' + V' + 1), of that ending's tokens.
 
-The model predicts a symbol from the CONTEXT symbols before it: r = sum_i C_i R[w_i]. Symbols lie in blocks of about
-the square root of their number; P(symbol) = P(block) P(symbol in block), by scores r . S[block] + g[block] and
+The model predicts a symbol from the CONTEXT symbols before it: r = sum_i C_i R[w_i]. Symbols lie in blocks,
+in each of which the square roots of their shares of the tokens sum up to about 1: so the scores of all blocks and of a
+token's own block are fewest, and frequent words lie in small ones. P(symbol) = P(block) P(symbol in block), by scores r . S[block] + g[block] and
 r . Q[w] + b[w]. Training texts belong to shards by hashes of id and text, so how the table is split and ordered does
 not matter: a shard's texts meet in one task, in the order of their hashes, and train a copy in numpy, with noise shared
 by a minibatch so that the work is matrix products. Spark averages what the copies that changed a row moved it by,
@@ -55,6 +56,10 @@ END = np.int64(-1)
 END_SYMBOL = 0
 #: Symbols whose copies are averaged together.
 AVERAGED = 256
+#: Contexts that are scored at once: their scores stay in a core's cache.
+SCORED = 1024
+#: Bytes of text whose equal contexts are scored once.
+SCORED_BYTES = 3 << 20
 _ENDINGS = (1 << TAIL_BITS) - 1
 
 
@@ -141,10 +146,11 @@ class Vocabulary:
         """Symbol of each key, and its count, -1 outside the head."""
         if not len(self.keys):
             return self._ending(keys), np.where(keys == END, 0, -1)
+        keys, back = np.unique(keys, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         head = self.keys[at] == keys
         symbols = np.where(head, self.symbols[at], self._ending(keys))
-        return symbols, np.where(head, self.counts[at], np.where(keys == END, 0, -1))
+        return symbols[back], np.where(head, self.counts[at], np.where(keys == END, 0, -1))[back]
 
 
 def histories(symbols: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -164,8 +170,10 @@ class LogBilinear:
     def __init__(self, unigram: np.ndarray, seed: int = 11):
         rng = np.random.default_rng(seed)
         v = len(unigram)
-        self.block = max(1, int(np.ceil(v**0.5)))
-        blocks = np.add.reduceat(unigram, np.arange(0, v, self.block))
+        #: Block of each symbol, and where the blocks begin.
+        self.block = np.unique(np.floor(np.cumsum(unigram**0.5) - unigram**0.5 / 2), return_inverse=True)[1]
+        self.edges = np.append(np.flatnonzero(np.diff(self.block, prepend=-1)), v)
+        blocks = np.add.reduceat(unigram, self.edges[:-1])
         self.noise = {"Q": (np.cumsum(unigram), np.log(NOISE * unigram).astype(np.float32)), "S": (np.cumsum(blocks), np.log(NOISE * blocks).astype(np.float32))}
         self.R = rng.normal(0, 0.1, (v, WIDTH)).astype(np.float32)
         self.Q = rng.normal(0, 0.1, (v, WIDTH)).astype(np.float32)
@@ -210,41 +218,52 @@ class LogBilinear:
             setattr(self, x, values[at : at + old.size].reshape(old.shape).copy())
             at += old.size
 
-    def _ascend(self, name: str, rows: np.ndarray | None, grad: np.ndarray) -> None:
-        """Adagrad, on some rows or all; the sums of squares are a task's own."""
+    def _ascend(self, name: str, groups: tuple[np.ndarray, ...] | None, grad: np.ndarray) -> None:
+        """Adagrad, on some rows, as of _groups(), or all; the sums of squares are a task's own."""
         value = getattr(self, name)
-        seen = self.step_sizes.setdefault(name, np.full(value.shape, FIRST_STEP, np.float32))
-        if rows is None:
+        if name not in self.step_sizes:
+            self.step_sizes[name] = np.full(value.shape, FIRST_STEP, np.float32)
+        seen = self.step_sizes[name]
+        if groups is None:
             seen += grad * grad
             value += self.rate * grad / np.sqrt(seen)
             return
-        order = np.argsort(rows, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) > 0]))
-        own, total = rows[order][first], np.add.reduceat(grad[order], first, axis=0)
-        seen[own] += total * total
-        value[own] += self.rate * total / np.sqrt(seen[own])
+        order, first, own = groups
+        total = np.add.reduceat(grad[order], first, axis=0)
+        sums = seen[own] + total * total
+        seen[own] = sums
+        np.sqrt(sums, out=sums)
+        total *= self.rate
+        total /= sums
+        value[own] += total
 
     def _estimate(self, name: str, bias: str, r: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """Ascends by targets against NOISE shared draws from their unigram distribution; the gradient at ``r``."""
         (total, shift), value, b = self.noise[name], getattr(self, name), getattr(self, bias)
         noise = np.minimum(np.searchsorted(total, rng.random(NOISE) * total[-1], side="right"), len(b) - 1)
-        up = 1 / (1 + np.exp(np.clip((r * value[target]).sum(1) + b[target] - shift[target], -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(r @ value[noise].T + b[noise] - shift[noise], -30, 30)))
-        n = np.float32(1 / len(target))
-        up, down = up * n, down * n
-        grad_r = up[:, None] * value[target] + down @ value[noise]
-        rows = np.concatenate([target, noise])
-        self._ascend(name, rows, np.concatenate([up[:, None] * r, down.T @ r]))
-        self._ascend(bias, rows, np.concatenate([up, down.sum(0)]))
+        n, own, others = np.float32(1 / len(target)), value[target], value[noise]
+        up = n / (1 + np.exp(np.clip(np.einsum("ij,ij->i", r, own) + b[target] - shift[target], -30, 30)))
+        down = r @ -others.T
+        down += shift[noise] - b[noise]
+        np.clip(down, -30, 30, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(-n, down, out=down)
+        grad_r = down @ others
+        own *= up[:, None]
+        grad_r += own
+        groups = _groups(np.concatenate([target, noise]))
+        self._ascend(name, groups, np.concatenate([up[:, None] * r, down.T @ r]))
+        self._ascend(bias, groups, np.concatenate([up, down.sum(0)]))
         return grad_r
 
     def train(self, before: list[np.ndarray], target: np.ndarray, rng: np.random.Generator) -> None:
         """One minibatch, of symbols and of their blocks."""
         parts = [self.R[w] for w in before]
         r = sum(x @ c for x, c in zip(parts, self.C, strict=True))
-        grad_r = self._estimate("Q", "b", r, target, rng) + self._estimate("S", "g", r, target // self.block, rng)
+        grad_r = self._estimate("Q", "b", r, target, rng) + self._estimate("S", "g", r, self.block[target], rng)
         grad_c = np.stack([x.T @ grad_r for x in parts])
-        self._ascend("R", np.concatenate(before), np.concatenate([grad_r @ c.T for c in self.C]))
+        self._ascend("R", _groups(np.concatenate(before)), np.concatenate([grad_r @ c.T for c in self.C]))
         self._ascend("C", None, grad_c)
 
     def log_probs(self, before: list[np.ndarray], target: np.ndarray) -> np.ndarray:
@@ -253,22 +272,46 @@ class LogBilinear:
         code, at = np.unique(sum(w.astype(np.int64) * v**i for i, w in enumerate(before)), return_inverse=True)
         r = sum(self.R[code // v**i % v] @ c for i, c in enumerate(self.C))
         norm = np.empty(len(code), np.float32)
-        for k in range(0, len(code), 8192):
-            norm[k : k + 8192] = _log_sums(r[k : k + 8192] @ self.S.T + self.g)
-        block = target // self.block
-        out = (r[at] * self.S[block]).sum(1) + self.g[block] - norm[at]
+        value = _beside(self.S, self.g)
+        for k in range(0, len(code), SCORED):
+            norm[k : k + SCORED] = _log_sums(r[k : k + SCORED], value)
+        block, mine = self.block[target], r[at]
+        out = np.einsum("ij,ij->i", mine, self.S[block]) + self.g[block] - norm[at]
         pair, of = np.unique(block.astype(np.int64) * len(code) + at, return_inverse=True)
         inner, where, which = np.empty(len(pair), np.float32), pair % len(code), pair // len(code)
         edge = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1, [len(pair)]])
         for a, z in zip(edge[:-1], edge[1:], strict=True):
-            own = slice(which[a] * self.block, (which[a] + 1) * self.block)
-            for k in range(a, z, 8192):
-                some = slice(k, min(k + 8192, z))
-                inner[some] = _log_sums(r[where[some]] @ self.Q[own].T + self.b[own])
-        return out.astype(np.float64) + ((r[at] * self.Q[target]).sum(1) + self.b[target] - inner[of])
-
-
-def _log_sums(scores: np.ndarray) -> np.ndarray:
+            own = slice(self.edges[which[a]], self.edges[which[a] + 1])
+            value = _beside(self.Q[own], self.b[own])
+            for k in range(a, z, SCORED):
+                some = slice(k, min(k + SCORED, z))
+                inner[some] = _log_sums(r[where[some]], value)
+        return out.astype(np.float64) + (np.einsum("ij,ij->i", mine, self.Q[target]) + self.b[target] - inner[of])
+
+
+def _groups(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """An order in which equal rows lie together, as they came; where each begins in it; and the distinct rows."""
+    bits = (len(rows) - 1).bit_length()
+    both = np.sort(rows.astype(np.int64) << bits | np.arange(len(rows)))
+    order, ordered = both & ((1 << bits) - 1), both >> bits
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return order, first, ordered[first]
+
+
+def _beside(value: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Vectors as columns, their biases as a last row."""
+    return np.concatenate([value, b[:, None]], 1).T.copy()
+
+
+def _log_sums(r: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Logarithms of the summed exponentials of each row's scores; ``value`` as of _beside()."""
+    r = np.concatenate([r, np.ones((len(r), 1), np.float32)], 1)
+    scores = r @ value
+    with np.errstate(over="ignore"):
+        total = np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32)
+    if len(total) and 1e-30 < total.min() and total.max() < 1e30:
+        return np.log(total)
+    scores = r @ value  # sums beyond single precision: each row by its largest
     top = scores.max(1)
     return top + np.log(np.exp(scores - top[:, None]).sum(1))
 
@@ -395,7 +438,7 @@ def lm_scores(df: DataFrame, text: str = "text", doc: str = "doc_id", held: int
     kind = df.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "t"):
+        for part in chunks(batches, "t", SCORED_BYTES):
             vocabulary, lbl = _tables(shared)
             keys, offsets = token_keys(part.column("t"))
             symbols, count = vocabulary.look_up(keys)

@@ -137,3 +137,16 @@ def test_nearest_rows_withstand_a_large_component_and_other_lengths(spark):
     near = lambda a, q: set(np.argsort(((a.astype(np.float64) - a[q]) ** 2).sum(1))[1:11].tolist())
     assert sum(len(got[q] & near(x, q)) for q in range(0, 3000, 100)) >= 285
     assert all(got[10_000 + 100 * k] == {10_000 + 100 * i for i in near(y, k)} for k in range(40))
+
+
+def test_lm_scores_few_sums_and_stays_normalised_at_extremes():
+    share = 1 / np.arange(1, 4001)
+    model = lbl_score.LogBilinear(share / share.sum())
+    sizes = np.diff(model.edges)
+    assert sizes.sum() == 4000 and (np.diff(model.block) >= 0).all() and (model.block == np.repeat(np.arange(len(sizes)), sizes)).all()
+    assert len(sizes) + (share / share.sum() * sizes[model.block]).sum() < 0.75 * 2 * 4000**0.5  # scores of a token
+    assert sizes[0] < 10 < sizes[-1]
+    for bias in (0, 90, -120):
+        model.b += np.float32(bias)
+        before = [np.full(4000, 3), np.full(4000, 5)]
+        assert np.exp(model.log_probs(before, np.arange(4000))).sum() == pytest.approx(1, abs=1e-3)
