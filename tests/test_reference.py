@@ -152,3 +152,10 @@ def test_tables_by_depth_and_index(spark, tmp_path):
     nearest = spark.createDataFrame([("AC", 3)], "seed string, closest int")
     G.write_nearest(nearest, str(tmp_path / "n"))
     assert [tuple(r) for r in G.read_signposts(spark, str(tmp_path / "n")).collect()] == [("AC", 3)]
+
+
+def test_merged_runs_measure_distances_once(spark):
+    rows = D.with_distances(spark.createDataFrame([("ACGTACGTACGA",), ("TTTTACGTACGT",), ("CCGTACGTACGT",), (None,)], "seed string"), ["ACGTACGTACGT", "TTGACCAGTACA"])
+    merged = catalogue.merged_runs(rows)
+    assert "levenshtein" not in merged._jdf.queryExecution().toString().lower()  # before: in either run, and again to sort
+    assert [r.seed for r in merged.collect()] == [r.seed for r in rows.orderBy("distance", "seed").collect()]
