@@ -150,3 +150,8 @@ def test_lm_scores_few_sums_and_stays_normalised_at_extremes():
         model.b += np.float32(bias)
         before = [np.full(4000, 3), np.full(4000, 5)]
         assert np.exp(model.log_probs(before, np.arange(4000))).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_broadcasts_of_a_search_stay_a_few_megabytes():
+    widest = nn_descent.FRESH * 2 * 8 + nn_descent.ASKED * (nn_descent.POOL * 8 + 1024 * 8)
+    assert widest < 4 << 20  # before: 31 MB for a round, at most
