@@ -48,7 +48,7 @@ def test_small_pieces_give_the_same(spark, monkeypatch, cells, rows):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["read_optimal_seeds_full", "read_optimal_seeds_leaf"])
+@pytest.mark.parametrize("name", ["read_optimal_seeds", "read_optimal_seeds_full", "read_optimal_seeds_leaf"])
 def test_places_are_shuffled_twice(spark, name):
     df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
