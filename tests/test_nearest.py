@@ -1,6 +1,7 @@
 """Nearest seeds against all pairs, and how many candidates their join meets."""
 
 import random
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,23 @@ def test_nearest_of_seeds_of_many_lengths(spark, limit):
     assert D.nearest_nontrivial(df.limit(0), df, limit).count() == 0
 
 
+def test_nearest_moves_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(D, "TILE", 7)
+    rng = random.Random(5)
+    long = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (20, 40, 70)]
+    seeds = sorted({w for x in long for w in (x, x[:9] + "T" + x[10:], x[:5] + x[6:], x[1:], "é" + x)} | {"A" * n for n in range(4)})
+    rows = [(w, [1, k % 5]) for k, w in enumerate(seeds)] + [(None, [1, 1]), ("ACGT", None)]
+    df = spark.createDataFrame(rows, "seed string, distance array<int>")
+    got = D.nearest_nontrivial(df, df, 4)
+    want = {w: 4 for w in [*seeds, "ACGT"]}
+    for a, b in product(rows[: len(seeds)], repeat=2):
+        s = anchored(a[0], b[0])
+        if a[0] != b[0] and abs(a[1][1] - b[1][1]) <= 4 and s < 4 and not a[0].startswith(b[0][s:]) and not b[0].startswith(a[0][s:]):
+            want[a[0]] = min(want[a[0]], s)
+    assert {r.seed: r.closest for r in got.collect()} == want
+    assert "cut" not in got._jdf.queryExecution().executedPlan().toString()  # no join on shared strings
+
+
 def test_candidates_of_a_seed_do_not_grow_with_the_table(spark):
     seeds = spark.range(4000).select(F.substring(F.translate(F.md5(F.col("id").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, 12).alias("seed")).distinct()
     for n in (1000, 4000):
