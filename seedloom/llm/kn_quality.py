@@ -40,7 +40,7 @@ QUANTILE, SLACK = 0.99, 0.15
 PRIOR_CHARS = 100
 #: Bytes of text in a block of rows, about, and in the parts of it that are held as numbers at once.
 BLOCK_BYTES = 8 << 20
-_PART = 1 << 20
+_PART = 1 << 19
 
 
 def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -178,6 +178,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]
         size += own
     if held:
         yield held
+    held = []
+    release_memory()
 
 
 def _key(rows: list[pa.RecordBatch]) -> int:
@@ -231,6 +233,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in rows:
                 out.write_batch(part)
         yield pa.RecordBatch.from_arrays([pa.array([_key(rows)]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+        del rows, sink, part
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +243,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = slice(k, k + 200_000)
             at = np.arange(k, k + len(own.c[some]), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array(at), pa.array(own.context[some]), pa.array(own.c[some])], names=["block", "at", "context", "c"])
+        del rows, own
 
 
 def with_bits(df: DataFrame, model: list[tuple[DataFrame, DataFrame]], keep_texts: bool) -> DataFrame:
@@ -257,6 +261,7 @@ def with_bits(df: DataFrame, model: list[tuple[DataFrame, DataFrame]], keep_text
         bits = np.full(at.max(initial=-1) + 1, np.nan)  # two blocks of the same texts ask twice, for the same
         bits[at] = -np.log2(answers.column("p").to_numpy())
         for blob in rows.column("rows"):
+            own = None  # before the next one is built
             own = _Block(pa.ipc.open_stream(blob.as_buffer()).read_all().to_batches())
             there = len(bits) >= len(own.c)
             n, total = own.sums(bits if there else np.full(len(own.c), np.nan))
