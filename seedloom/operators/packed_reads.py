@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import written
-from .packed import KINDS, ROOM, answered, blocks, closed, numbered, numbers, opened, padded, slices, spread, unpacked, weighed
+from .packed import KINDS, ROOM, answered, ascii_of, beginnings, blocks, closed, numbered, numbers, opened, padded, slices, spread, unpacked, weighed
 
 #: First bases by which windows meet; what matches no further is told from a table of all such beginnings.
 HEAD = 8
@@ -27,18 +27,13 @@ for _table in (_CONTIG, _READ):
 _COMPLEMENT = np.array([3, 2, 1, 0, 4, 5], np.uint8)
 
 
-def _ascii(texts: pa.ChunkedArray | pa.Array) -> pa.Array:
-    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    return pc.replace_substring_regex(texts, "[^\\x00-\\x7F]", "?")
-
-
 def _windows(contigs: DataFrame, length: int, head: int) -> DataFrame:
     """Rows of KINDS, kind 2: the windows of ``length`` letters at all places, cut short by the contig's end, and how often each occurs."""
     many = blocks(contigs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digits, at, _, _ = padded(_ascii(batch.column("seq")), length, _CONTIG, _END)
+            digits, at, _, _ = padded(ascii_of(batch.column("seq")), length, _CONTIG, _END)
             for i in range(0, len(at), ROOM):
                 codes, n = weighed(numbered(digits, at[i : i + ROOM], length, 6))
                 yield spread(2, codes, codes // 6 ** (length - head), many, 0, n)
@@ -46,22 +41,6 @@ def _windows(contigs: DataFrame, length: int, head: int) -> DataFrame:
     return contigs.select("seq").mapInArrow(run, KINDS)
 
 
-def _beginnings(contigs: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted numbers of the first ``head`` letters of all places, and how often each occurs: 6 to the power of ``head`` at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digits, at, _, _ = padded(_ascii(batch.column("seq")), head, _CONTIG, _END)
-            if len(at):
-                codes, n = weighed(numbered(digits, at, head, 6))
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
-
-    table = contigs.select("seq").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    codes, n = table.column("code").to_numpy(), table.column("n").to_numpy()
-    order = np.argsort(codes)
-    return codes[order], n[order]
-
-
 def _common(codes: np.ndarray, table: np.ndarray, length: int) -> np.ndarray:
     """How many first digits each of ``codes`` shares with some of the sorted ``table``, at most."""
     found = np.zeros(len(codes), np.int64)
@@ -100,7 +79,7 @@ class _Strands:
     """Both strands of a slice's reads one after another: all as they are, then the reverse complements, the last read first."""
 
     def __init__(self, table: pa.Table, length: int) -> None:
-        texts = _ascii(table.column("seq")) if table.num_rows else pa.array([], pa.string())
+        texts = ascii_of(table.column("seq")) if table.num_rows else pa.array([], pa.string())
         digits, at, _, _ = padded(texts, 0, _READ, _END)
         letters = digits[at]
         sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -142,7 +121,7 @@ def greedy_seeds(reads: DataFrame, contigs: DataFrame, fails: DataFrame, k: int,
     """
     length = 2 * k
     head, many = min(HEAD, length), blocks(contigs.sparkSession)
-    short, times = _beginnings(contigs, head)
+    short, times = beginnings(contigs, head, _CONTIG, _END)
     number = reads.schema["read_no"].dataType.simpleString()
     first = lambda codes: codes // 6 ** (length - head)
 

@@ -20,3 +20,15 @@ def test_packed_seeds_and_strands_equal_those_of_sorted_places(spark, k):
     assert rows(got) == rows(seeds) and got.columns == seeds.columns
     assert rows(B.greedy_seeds(reads, contigs, fails, k, 3)) == rows(R.strand_choice(reads, seeds, 3))
     assert B.greedy_seeds(reads.limit(0), contigs.limit(0), fails.limit(0), k, 3).count() == 0
+
+
+def test_ranks_without_sorted_rows(spark, monkeypatch):
+    rows = [(1, "ACGTACGT" * 20), (None, "ACGT" * 9 + "é"), (3, None), (4, ""), (5, "A" * 90), (6, "NACGx")]
+    df = spark.createDataFrame(rows, "seq_no long, seq string").repartition(2)
+    tails = sorted((s[p : p + 42].replace("é", "N").replace("x", "N"), n, p) for n, s in rows if s for p in range(len(s)) for n in [n or -1])
+    first = {}
+    for i, (t, _, _) in enumerate(tails):
+        first.setdefault(t, i)
+    monkeypatch.setattr(X, "ranges", None)  # no suffix is a row of a sort
+    assert {(r.seq_no or -1, r.pos): r.rank for r in X.suffix_ranks(df, 42).collect()} == {(n, p): first[t] for t, n, p in tails}
+    assert X.suffix_ranks(df.limit(0), 42).count() == 0
